@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vicinity.llm import tokens
+from vicinity.llm import mixing, tokens, toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text of documents under byte_bpe_50k.json."""
-    return tokens.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), name="byte_bpe_50k.json", limit=512)
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), name="byte_bpe_50k.json", limit=512)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes from each: weights 3, 1, 2, 150% of all words, twice each at most."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents, learned from the labelled rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit_on_labels(docs, _table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op2_token_counts": op2_token_counts}
+QUERIES = {"op2_token_counts": op2_token_counts, "op8_source_mixing": op8_source_mixing, "op9_toxicity": op9_toxicity}
 ORACLES: dict[str, str] = {}
