@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import _LOWER, BASE, flat, prefix_sums, range_hashes, steps
+from vicinity.llm.text import _LOWER, BASE, flat, mix, prefix_sums, range_hashes, steps
 
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
-PREFIXES = (0, 3, 4, 5)
+PREFIXES = (0, 3, 4, 5, 6, 7)
 #: The fit uses so many labelled documents of each label at most, the first by hash of their id.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 3000
 #: Features picked at most.
 FEATURES = 400
 _PART = np.zeros(256, bool)
@@ -199,17 +199,28 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     text = np.repeat(np.arange(len(y)), np.diff(first))
     feats = token_features(data, lo, hi)
     n1 = int(y.sum())
-    # documents of each feature, by label
-    pairs = np.unique(np.stack([np.concatenate(feats), np.tile(text, len(feats)).astype(np.uint64)], 1)[np.concatenate(feats) != 0], axis=0)
-    key, start = np.unique(pairs[:, 0], return_index=True)
-    label = y[pairs[:, 1].astype(np.int64)]
-    df1 = np.add.reduceat(label, start)
-    df = np.diff(np.append(start, len(pairs)))
+    # documents of each feature that toxic documents hold, by label
+    is_toxic = y[text] == 1
+    h1, t1 = np.concatenate([h[is_toxic] for h in feats]), np.tile(text[is_toxic], len(feats))
+    _, at = np.unique(mix(h1) ^ mix(t1.astype(np.uint64)), return_index=True)
+    at = at[h1[at] != 0]
+    order = np.argsort(h1[at], kind="stable")
+    h1, t1 = h1[at][order], t1[at][order]
+    key, start, df1 = np.unique(h1, return_index=True, return_counts=True)
+    key, start, df1 = key[df1 >= 2], start[df1 >= 2], df1[df1 >= 2]
+    df0 = np.zeros(len(key), np.int64)
+    if len(key):
+        seen = []
+        for h in feats:
+            h0, t0 = h[~is_toxic], text[~is_toxic]
+            k = np.minimum(np.searchsorted(key, h0), len(key) - 1)
+            ok = key[k] == h0
+            seen.append(np.unique(k[ok] * len(y) + t0[ok]))
+        df0 += np.bincount(np.concatenate(seen) // len(y), minlength=len(key))
     clean_each = max(1, int((y == 0).sum())) / n1
-    able = np.flatnonzero((df1 >= 2) & (df - df1 <= 0.02 * df1 * clean_each))
-    stop = np.append(start, len(pairs))
-    docs_of = {int(k): pairs[start[k] : stop[k], 1].astype(np.int64)[label[start[k] : stop[k]] == 1] for k in able}
-    cost = {int(k): 2.0 * (df[k] - df1[k]) / clean_each for k in able}
+    able = np.flatnonzero(df0 <= 0.02 * df1 * clean_each)
+    docs_of = {int(k): t1[start[k] : start[k] + df1[k]] for k in able}
+    cost = {int(k): 2.0 * df0[k] / clean_each for k in able}
     chosen: list[int] = []
     cover = np.zeros(len(y), np.int64)
     for depth, least in ((1, 2.0), (2, max(3.0, 0.01 * n1))):
