@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import mixing, tokens, toxicity
+from vicinity.llm import mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), name="byte_bpe_50k.json", limit=512)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every whole text of documents without its repeated 200-byte strings."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 200, digest=True)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each: weights 3, 1, 2, 150% of all words, twice each at most."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -30,5 +35,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op8_source_mixing": op8_source_mixing, "op9_toxicity": op9_toxicity}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLES: dict[str, str] = {}
