@@ -15,6 +15,8 @@ pass one to one; an empty table or a sample without both labels scores 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from vicinity.llm.text import _LOWER, BASE, flat, mix, prefix_sums, range_hashes
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
 PREFIXES = (0, 3, 4, 5, 6, 7)
 #: The fit uses so many labelled documents of each label at most, the first by hash of their id.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 1500
 #: Features picked at most.
 FEATURES = 400
 _PART = np.zeros(256, bool)
@@ -44,15 +46,13 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return lo, np.flatnonzero(z) + 1, np.searchsorted(lo, offs)
 
 
-def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
     """For each of PREFIXES, a hash of every token; 0 where the token is no longer than the beginning."""
     s = prefix_sums(_LOWER[data], BASE)
-    out = []
     for k in PREFIXES:
-        end = np.minimum(lo + k, hi) if k else hi
-        h = range_hashes(s, lo, end, BASE) ^ np.uint64(k)
-        out.append(np.where(hi - lo > k, h, np.uint64(0)))
-    return out
+        h = range_hashes(s, lo, np.minimum(lo + k, hi) if k else hi, BASE) ^ np.uint64(k)
+        h[hi - lo <= k] = 0
+        yield h
 
 
 def chain_marginals(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: int = 32) -> np.ndarray:
@@ -122,7 +122,7 @@ class Model:
         self.curve = None
         self.sieve = np.zeros(1 << 16, bool)
 
-    def pick(self, feats: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def pick(self, feats: Iterable[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each kind of feature, the tokens that have a picked one and its index."""
         out = []
         for h in feats:
@@ -197,21 +197,25 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     data, offs = flat(pa.array(texts, pa.string()))
     lo, hi, first = tokens(data, offs)
     text = np.repeat(np.arange(len(y)), np.diff(first))
-    feats = token_features(data, lo, hi)
     n1 = int(y.sum())
     # documents of each feature that toxic documents hold, by label
     is_toxic = y[text] == 1
-    h1, t1 = np.concatenate([h[is_toxic] for h in feats]), np.tile(text[is_toxic], len(feats))
-    _, at = np.unique(mix(h1) ^ mix(t1.astype(np.uint64)), return_index=True)
-    at = at[h1[at] != 0]
-    order = np.argsort(h1[at], kind="stable")
-    h1, t1 = h1[at][order], t1[at][order]
+    found_h, found_t, of = [], [], text[is_toxic]
+    for h in token_features(data, lo, hi):  # kind by kind, for the driver's memory
+        h = h[is_toxic]
+        _, at = np.unique(mix(h) ^ mix(of.astype(np.uint64)), return_index=True)
+        at = at[h[at] != 0]
+        found_h.append(h[at])
+        found_t.append(of[at])
+    h1, t1 = np.concatenate(found_h), np.concatenate(found_t)
+    order = np.argsort(h1, kind="stable")
+    h1, t1 = h1[order], t1[order]
     key, start, df1 = np.unique(h1, return_index=True, return_counts=True)
     key, start, df1 = key[df1 >= 2], start[df1 >= 2], df1[df1 >= 2]
     df0 = np.zeros(len(key), np.int64)
     if len(key):
         seen = []
-        for h in feats:
+        for h in token_features(data, lo, hi):
             h0, t0 = h[~is_toxic], text[~is_toxic]
             k = np.minimum(np.searchsorted(key, h0), len(key) - 1)
             ok = key[k] == h0
@@ -236,7 +240,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     model.sieve[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     model.weight = np.zeros(len(model.keys))
     # token labels, and windows about picked features with as many others
-    picked = model.pick(feats)
+    picked = model.pick(token_features(data, lo, hi))
     has = np.zeros(len(lo), bool)
     for at, _ in picked:
         has[at] = True
