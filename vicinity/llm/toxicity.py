@@ -15,6 +15,7 @@ pass one to one; an empty table or a sample without both labels scores 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -295,9 +296,22 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
         return Model()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = [known.where(F.col("toxic") == k).orderBy(*order).limit(sample_docs) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), n.get(1, 0) / (n.get(0, 0) + n.get(1, 0)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").select("doc_id", "text", "toxic")
+    prior = n.get(1, 0) / (n.get(0, 0) + n.get(1, 0))
+
+    def fit_sample(batches):
+        t = [b for b in batches]
+        if t:
+            t = pa.Table.from_batches(t).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            m = fit(t.column("text").to_pylist(), t.column("toxic").to_pylist(), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m.__dict__)], pa.binary())], names=["model"])
+
+    # one task fits on the bounded sample, in an executor's memory
+    fitted = rows.repartition(1).mapInArrow(fit_sample, "model binary").first()
+    model = Model()
+    if fitted:
+        model.__dict__.update(pickle.loads(fitted["model"]))
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
