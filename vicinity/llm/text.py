@@ -147,3 +147,23 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
     lo = first[text] + np.arange(len(text)) - begin[text]
     hi = np.minimum(lo + n, first[text + 1])
     return range_hashes(s, lo, hi, BASE2), begin
+
+
+#: Bits of a repeat table: 8 MB, whatever the input.
+TABLE_BITS = 26
+
+
+def repeat_table(hashes: DataFrame, col: str = "h") -> np.ndarray:
+    """A bit table of 64-bit hashes. Of fixed size: it lets through all that are in, and few others while it is sparse."""
+    from pyspark.sql import functions as F
+
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - TABLE_BITS}) % 64 as int))")
+    words = hashes.groupBy(F.shiftrightunsigned(col, 64 - TABLE_BITS + 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(U)
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> U(64 - TABLE_BITS)
+    return ((table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1)).astype(bool)
