@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import mixing, suffix_dedup, tokens, toxicity
+from vicinity.llm import jaccard, mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 200, digest=True)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles reach a Jaccard similarity of 0.85."""
+    return jaccard.shingle_components(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each: weights 3, 1, 2, 150% of all words, twice each at most."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -38,6 +43,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
 }
