@@ -129,6 +129,22 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return lo, np.flatnonzero(stop) + 1, np.searchsorted(lo, offs)
 
 
+_PART = np.zeros(256, bool)
+_PART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and each text's first of the runs of letters, digits and bytes above 127."""
+    part = _PART[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    a, z = part.copy(), part.copy()
+    a[1:] &= ~part[:-1] | edge[1:-1]
+    z[:-1] &= ~part[1:] | edge[1:-1]
+    lo = np.flatnonzero(a)
+    return lo, np.flatnonzero(z) + 1, np.searchsorted(lo, offs)
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words with A-Z lowered, and each text's first word."""
     low = _LOWER[data]

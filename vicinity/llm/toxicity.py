@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import _LOWER, BASE, flat, mix, prefix_sums, range_hashes, steps
+from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, steps
 
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
 PREFIXES = (0, 3, 4, 5, 6, 7)
@@ -31,20 +31,6 @@ PREFIXES = (0, 3, 4, 5, 6, 7)
 SAMPLE_DOCS = 1500
 #: Features picked at most.
 FEATURES = 400
-_PART = np.zeros(256, bool)
-_PART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and each text's first of the runs of letters, digits and bytes above 127."""
-    part = _PART[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    a, z = part.copy(), part.copy()
-    a[1:] &= ~part[:-1] | edge[1:-1]
-    z[:-1] &= ~part[1:] | edge[1:-1]
-    lo = np.flatnonzero(a)
-    return lo, np.flatnonzero(z) + 1, np.searchsorted(lo, offs)
 
 
 def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
@@ -152,7 +138,7 @@ class Model:
         return u, near
 
     def marginals(self, data: np.ndarray, offs: np.ndarray):
-        lo, hi, first = tokens(data, offs)
+        lo, hi, first = letter_runs(data, offs)
         u, near = self.design(len(lo), first, self.pick(token_features(data, lo, hi)))
         return lo, hi, first, chain_marginals(u + self.bias + self.near * near, first, self.trans)
 
@@ -196,7 +182,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     if not (y == 1).any() or not (y == 0).any():
         return model
     data, offs = flat(pa.array(texts, pa.string()))
-    lo, hi, first = tokens(data, offs)
+    lo, hi, first = letter_runs(data, offs)
     text = np.repeat(np.arange(len(y)), np.diff(first))
     n1 = int(y.sum())
     # documents of each feature that toxic documents hold, by label
