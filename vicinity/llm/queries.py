@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import decontam, jaccard, mixing, suffix_dedup, tokens, toxicity
+from vicinity.llm import decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page of pages."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_decontamination": op5_decontamination,
@@ -52,5 +57,6 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}

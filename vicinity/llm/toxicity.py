@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.llm.crf import chain_marginals
 from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, steps
 
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
@@ -42,62 +43,6 @@ def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator
         yield h
 
 
-def chain_marginals(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: int = 32) -> np.ndarray:
-    """P(state 1) of every token, from forward-backward over each text's tokens.
-
-    u: log potentials of state 1 against state 0. All texts form one chain in
-    which a text's first step forgets the state before it. Segments of it are
-    multiplied side by side, so each step is one operation over all segments.
-    """
-    n = len(u)
-    if not n:
-        return np.zeros(0)
-    pad = -n % seg
-    s = (n + pad) // seg
-    one = np.exp(np.clip(np.concatenate([u, np.zeros(pad)]), -30, 30)).reshape(s, seg)
-    begins = np.zeros(n + pad, bool)
-    begins[first[:-1][np.diff(first) > 0]] = True
-    begins[n:] = True
-    begins = begins.reshape(s, seg)
-    t = np.exp(trans)
-    m = np.empty((seg, s, 2, 2))  # m[k, :, i, j]: from state i before to state j at step k
-    for k in range(seg):
-        for i in (0, 1):
-            m[k, :, i, 0] = np.where(begins[:, k], 1.0, t[i, 0])
-            m[k, :, i, 1] = np.where(begins[:, k], 1.0, t[i, 1]) * one[:, k]
-    whole = m[0]
-    for k in range(1, seg):
-        whole = whole @ m[k]
-        whole /= whole.sum((1, 2), keepdims=True)
-    fore, back = np.empty((s, 2)), np.empty((s, 2))
-    v = (0.5, 0.5)
-    w = whole.tolist()
-    for x in range(s):
-        fore[x] = v
-        (a, b), (c, d) = w[x]
-        p, q = v[0] * a + v[1] * c, v[0] * b + v[1] * d
-        v = (p / (p + q), q / (p + q))
-    v = (0.5, 0.5)
-    for x in range(s - 1, -1, -1):
-        back[x] = v
-        (a, b), (c, d) = w[x]
-        p, q = a * v[0] + b * v[1], c * v[0] + d * v[1]
-        v = (p / (p + q), q / (p + q))
-    alpha = np.empty((seg, s, 2))
-    f = fore
-    for k in range(seg):
-        f = np.stack([f[:, 0] * m[k, :, 0, 0] + f[:, 1] * m[k, :, 1, 0], f[:, 0] * m[k, :, 0, 1] + f[:, 1] * m[k, :, 1, 1]], 1)
-        f /= f.sum(1, keepdims=True)
-        alpha[k] = f
-    out, b = np.empty((seg, s)), back
-    for k in range(seg - 1, -1, -1):
-        x = alpha[k] * b
-        out[k] = x[:, 1] / x.sum(1)
-        b = np.stack([m[k, :, 0, 0] * b[:, 0] + m[k, :, 0, 1] * b[:, 1], m[k, :, 1, 0] * b[:, 0] + m[k, :, 1, 1] * b[:, 1]], 1)
-        b /= b.sum(1, keepdims=True)
-    return out.T.reshape(-1)[:n]
-
-
 class Model:
     """Picked features and their weights, transitions, and the curve from marginals to a score."""
 
