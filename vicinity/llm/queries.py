@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
+from vicinity.llm import ann, decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), name="byte_bpe_50k.json", limit=512)
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other embeddings of every embedding whose id is divisible by 100."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 100, 10)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or as a paraphrase, and the item."""
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -52,6 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_nearest_vectors": op3_nearest_vectors,
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
