@@ -1,7 +1,7 @@
 """Similarity join of word shingle sets by signature trees; components of its links.
 
 Sets that reach the threshold share one of the first n - ceil(t * n) + 1 of
-their shingles in any common order; here those frequent in a sample of the
+their shingles in any common order, and more of some more; here those frequent in a sample of the
 documents come last and hashes order the rest, so common lines don't make
 groups. Shingles repeated among these prefixes group the candidates, and equal
 sets are one candidate. In each group:
@@ -37,6 +37,8 @@ from vicinity.llm.text import MIX2, U, flat, in_table, mix, repeat_table, saved,
 SAMPLE_DOCS = 4096
 SAMPLE_LEAST = 4
 FREQUENT = 1 << 16
+#: Percent of a set that a prefix goes beyond the least, so that a candidate must share more than one shingle.
+BEYOND = 5
 #: Members of a block; larger groups are split.
 BLOCK = 2048
 #: Bits of a signature, as a power of two, and leaves of a tree node.
@@ -50,13 +52,16 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
     return [np.unique(h[i:j]) for i, j in zip(begin.tolist(), begin[1:].tolist(), strict=False)]
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a sorted set of which any set that reaches percent shares one."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, of which any set that reaches percent shares one among the first k, and k.
+
+    Of all that are given it shares one and as many as go beyond k.
+    """
     k = len(s) - -(-percent * len(s) // 100) + 1
     if len(frequent) and len(s):
         often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         s = np.concatenate([s[~often], s[often]])
-    return s[:k]
+    return s[: k + len(s) * BEYOND // 100], k
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -152,7 +157,7 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n):
                     if len(s) and (k := digest(s)) not in seen:
                         seen.add(k)
-                        out.append(prefix(s, sent.value, percent))
+                        out.append(prefix(s, sent.value, percent)[0])
                 if out:
                     h, c = np.unique(np.concatenate(out), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
@@ -174,8 +179,9 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                     toks = np.zeros(0, U)
                     if len(s) and k not in seen:
                         seen.add(k)
-                        toks = prefix(s, sent.value, percent)
-                        toks = toks[in_table(table.value, toks)]
+                        toks, least = prefix(s, sent.value, percent)
+                        again = in_table(table.value, toks)
+                        toks = toks[:least][again[:least]] if again.sum() > len(toks) - least else toks[:0]
                     some = len(toks) > 0
                     for c, v in zip(cols[1:], (len(s), *k, s.view(np.int64) if some else None, signature(s).tobytes() if some else None, toks.view(np.int64) if some else None), strict=True):
                         c.append(v)

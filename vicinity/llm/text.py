@@ -44,10 +44,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
+
+    Its shuffle files go when it is written.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
