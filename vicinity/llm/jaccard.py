@@ -6,8 +6,8 @@ documents come last and hashes order the rest, so common lines don't make
 groups. Shingles repeated among these prefixes group the candidates, and equal
 sets are one candidate. In each group:
 
-* all are first verified against its least member, which joins large clusters
-  of copies by as many links as they have members;
+* each set is first verified against the least member of the groups that it
+  shares most, which joins large clusters of copies by a link a member;
 * members that are still in different components meet in a dual traversal of a
   signature tree: nodes hold OR-combined bitmaps and size ranges, and a pair of
   nodes whose largest possible overlap is too small is left with all below it.
@@ -188,25 +188,27 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=names)
 
     cand = saved(docs.select("doc_id", "text").mapInArrow(candidates, f"doc_id {id_type}, n long, s1 long, s2 long, set array<long>, sig binary, toks array<long>"), "jaccard-sets")
-    own = F.coalesce(F.min("doc_id").cast("long"), -F.shiftrightunsigned(F.first("s1"), 1) - 1)
-    classes = saved(cand.where("n > 0").groupBy("s1", "s2").agg(own.alias("cid"), F.max(F.col("toks").isNotNull()).alias("linked")), "jaccard-classes")
-    met = cand.where("toks is not null").join(classes.where("linked").select("s1", "s2", "cid"), ["s1", "s2"])
-    met = saved(met.dropDuplicates(["cid"]).select("cid", "n", "set", "sig", "toks"), "jaccard-met")
-    sets = met.select("cid", "set")
+    classes = saved(cand.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), "jaccard-classes")
+    # a set's node is the first half of its digest; the few sets that share one get another
+    shared = [r["s1"] for r in classes.groupBy("s1").count().where("count > 1").select("s1").collect()]
+    node = F.when(F.col("s1").isin(shared), F.xxhash64("s2", "s1")).otherwise(F.col("s1")) if shared else F.col("s1")
+    met = cand.where("toks is not null").select(node.alias("cid"), "n", "set", "sig", "toks")  # copies in other partitions repeat
+    sets = met.groupBy("cid").agg(F.first("set").alias("set"))
     groups = saved(met.select("cid", F.explode("toks").alias("tok")), "jaccard-groups")
-    least = groups.groupBy("tok").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m > 1")
-    stars = groups.join(least, "tok").where("a != cid").select("a", F.col("cid").alias("b")).distinct()
-    links = saved(_verified(stars, sets, percent), "jaccard-links")
+    least = groups.groupBy("tok").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a != z")
+    # each member meets the least member of the groups it shares most of
+    stars = groups.join(least, "tok").where("a != cid").groupBy("cid", "a").count().groupBy("cid").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    links = saved(_verified(stars.select("a", F.col("cid").alias("b")), sets, percent), "jaccard-links")
     joined = components(links)
     # groups with members of different components
-    placed = met.select("cid").join(joined, F.col("node") == F.col("cid"), "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-    there = saved(groups.join(placed, "cid"), "jaccard-placed")
+    placed = met.select("cid").distinct().join(joined, F.col("node") == F.col("cid"), "left").select("cid", F.coalesce("component", "cid").alias("comp"))
+    there = saved(groups.distinct().join(placed, "cid"), "jaccard-placed")
     mixed = there.groupBy("tok").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     members = there.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("own", block)
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp")
-    members = members.join(met.select("cid", "n", "sig"), "cid")
+    members = members.join(met.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "cid")
 
     def traverse(t):
         t = t.sort_by([("tok", "ascending"), ("x", "ascending"), ("y", "ascending"), ("cid", "ascending")])
@@ -228,12 +230,9 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     more = members.groupBy(F.pmod(F.xxhash64("tok", "x", "y"), F.lit(calls)).alias("call")).applyInArrow(traverse, "a long, b long").distinct()
     links2 = saved(_verified(more, sets, percent), "jaccard-links2")
     final = components(links.unionByName(links2)) if not links2.isEmpty() else joined
-    at = classes.join(final, F.col("node") == F.col("cid"), "left").select("s1", "s2", F.coalesce("component", "cid").alias("component"))
+    at = classes.join(final, final["node"] == node, "left").select("s1", "s2", "least", F.coalesce("component", node).alias("component"))
+    named = at.groupBy("component").agg(F.min("least").cast("long").alias("component_id"))
+    at = at.join(named, "component").select("s1", "s2", "component_id")
     out = cand.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(at, ["s1", "s2"], "left")
-    if docs.where("doc_id is null").isEmpty():
-        label = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).cast("long")
-        return out.select("doc_id", "n_shingles", label.alias("component_id"))
-    names = out.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").cast("long").alias("named"))
-    out = out.join(names, "component", "left")
-    label = F.when(F.col("n_shingles") > 0, F.col("named")).otherwise(F.col("doc_id").cast("long"))
+    label = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
     return out.select("doc_id", "n_shingles", label.alias("component_id"))
