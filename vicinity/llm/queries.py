@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import ann, decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
+from vicinity.llm import ann, chat, decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Schemas of the tools that conversations may call.
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("lookup", "id", "integer", True), ("run", "code", "string", True), ("run", "timeout", "number", False)]
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of conversations as canonical JSON, linked with what it answers and with its tool calls."""
+    return chat.format_chat(_table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, chat.SCHEMA_ROWS))
+
+
+#: The same where texts hold no tool calls, as in the driver's tables.
+OP1_SQL = """WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+  p AS (SELECT DISTINCT a.conv_id, u.turn AS q, a.turn AS r FROM m u JOIN m a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT m.conv_id, m.turn, m.role, m.turn AS position, CASE WHEN m.role = 'assistant' THEN x.q END AS reply_to, CASE WHEN m.role = 'user' THEN y.r END AS answered_by,
+  0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_valid, NULL::INTEGER AS max_level,
+  '{"content":' || to_json(m.text)::VARCHAR || CASE WHEN m.role = 'assistant' AND x.q IS NOT NULL THEN ',"reply_to":' || x.q ELSE '' END || ',"role":' || to_json(m.role)::VARCHAR || '}' AS json
+FROM m LEFT JOIN p x ON x.conv_id = m.conv_id AND x.r = m.turn LEFT JOIN p y ON y.conv_id = m.conv_id AND y.q = m.turn"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text of documents under byte_bpe_50k.json."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), name="byte_bpe_50k.json", limit=512)
@@ -56,6 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op3_nearest_vectors": op3_nearest_vectors,
     "op5_decontamination": op5_decontamination,
@@ -65,4 +84,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
