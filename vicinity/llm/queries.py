@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import ann, chat, decontam, html_text, jaccard, mixing, suffix_dedup, tokens, toxicity
+from vicinity.llm import ann, chat, decontam, html_text, jaccard, licenses, mixing, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,27 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 100, 10)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text of documents."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
+def _op4_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
+    shingle = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END"
+    return f"""WITH t0 AS (SELECT template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {rows}) v(template, text)),
+  t1 AS (SELECT template, list_distinct({shingle}) AS h FROM t0),
+  t AS (SELECT template, len(h) AS n, greatest(8, pow(2, ceil(log2(2 * len(h))))::INTEGER) AS size, unnest(h) AS s FROM t1),
+  d0 AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+  d1 AS (SELECT doc_id, text, {shingle} AS h FROM d0),
+  d AS (SELECT doc_id, text, unnest(h) AS s, unnest(range(0, len(h))) AS p FROM d1),
+  hits AS (SELECT doc_id, text, template, n, size, d.s AS s, p FROM d JOIN t ON d.s = t.s),
+  inside AS (SELECT doc_id, text, template, n, s, (p // (size // 2) - k) * (size // 2) AS pos FROM hits, (VALUES (0), (1)) v(k) WHERE p // (size // 2) >= k),
+  windows AS (SELECT doc_id, text, template, n, pos, count(DISTINCT s) AS matched FROM inside GROUP BY ALL)
+SELECT doc_id, template, n::INTEGER AS n_shingles, max(matched)::INTEGER AS matched, max(matched) / n::DOUBLE AS containment, count(*) AS n_windows, min(pos)::INTEGER AS first_shingle
+FROM windows WHERE matched >= 0.8 * n GROUP BY doc_id, text, template, n"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or as a paraphrase, and the item."""
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -77,6 +98,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op3_nearest_vectors": op3_nearest_vectors,
+    "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -84,4 +106,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_license_scan": _op4_sql()}
