@@ -9,7 +9,8 @@ sets are one candidate. In each group:
 * each set is first verified against the least member of the groups that it
   shares most, which joins large clusters of copies by a link a member;
 * members that are still in different components meet in a dual traversal of a
-  signature tree: nodes hold OR-combined bitmaps and size ranges, and a pair of
+  signature tree, first those nearest by signature, round by round while this
+  joins any, then all: nodes hold OR-combined bitmaps and size ranges, and a pair of
   nodes whose largest possible overlap is too small is left with all below it.
   Groups of many members are split into blocks that meet pairwise.
 
@@ -122,6 +123,40 @@ def close_pairs(size: np.ndarray, sig: np.ndarray, comp: np.ndarray, percent: in
     return out
 
 
+def _traverse(percent: int, best: bool):
+    def work(t, signs):
+        a, b, apart = [], [], []
+        if t.num_rows:
+            t = t.sort_by([("tok", "ascending"), ("x", "ascending"), ("y", "ascending"), ("cid", "ascending")])
+            tok, x, y, side, cid, comp = (t.column(c).to_numpy() for c in ("tok", "x", "y", "side", "cid", "comp"))
+            signs = signs.sort_by("cid")
+            at = np.searchsorted(signs.column("cid").to_numpy(), cid)
+            size, sig = signs.column("n").to_numpy(), np.stack([np.frombuffer(s.as_py(), U) for s in signs.column("sig")])
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(tok) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1, [len(tok)]]).tolist()
+            done, found = set(), {}
+            for i, j in zip(cut, cut[1:], strict=False):
+                cross = side[i:j] if x[i] != y[i] else None
+                same = (at[i:j].tobytes(), None if cross is None else cross.tobytes())
+                if same in done or (comp[i:j] == comp[i]).all():
+                    continue
+                done.add(same)
+                for p, q in close_pairs(size[at[i:j]], sig[at[i:j]], comp[i:j], percent, cross):
+                    u, v = int(at[i + p]), int(at[i + q])
+                    found[min(u, v), max(u, v)] = None
+            u, v = (np.array(z, np.int64) for z in (zip(*found, strict=True) if found else ((), ())))
+            apart = np.bitwise_count(sig[u] ^ sig[v]).sum(1).astype(np.int64)
+            if best and len(u):  # the nearest of each member is enough
+                ends, other = np.concatenate([u, v]), np.concatenate([v, u])
+                by = np.lexsort((other, np.concatenate([apart, apart]), ends))
+                first = by[np.concatenate([[True], np.diff(ends[by]) != 0])]
+                u, v, apart = ends[first], other[first], np.concatenate([apart, apart])[first]
+            names = signs.column("cid").to_numpy()
+            a, b = names[u], names[v]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "apart": pa.array(apart, pa.int64())})
+
+    return work
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
@@ -200,36 +235,36 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     stars = groups.join(least, "tok").where("a != cid").groupBy("cid", "a").count().groupBy("cid").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
     links = saved(_verified(stars.select("a", F.col("cid").alias("b")), sets, percent), "jaccard-links")
     joined = components(links)
-    # groups with members of different components
-    placed = met.select("cid").distinct().join(joined, F.col("node") == F.col("cid"), "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-    there = saved(groups.distinct().join(placed, "cid"), "jaccard-placed")
-    mixed = there.groupBy("tok").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    members = there.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("own", block)
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp")
-    members = members.join(met.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "cid")
-
-    def traverse(t):
-        t = t.sort_by([("tok", "ascending"), ("x", "ascending"), ("y", "ascending"), ("cid", "ascending")])
-        tok, x, y, side, cid, comp, size = (t.column(c).to_numpy() for c in ("tok", "x", "y", "side", "cid", "comp", "n"))
-        sig = np.stack([np.frombuffer(s.as_py(), U) for s in t.column("sig")])
-        cut = np.concatenate([[0], np.flatnonzero((np.diff(tok) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1, [len(tok)]]).tolist()
-        found = set()
-        for i, j in zip(cut, cut[1:], strict=False):
-            cross = side[i:j] if x[i] != y[i] else None
-            for p, q in close_pairs(size[i:j], sig[i:j], comp[i:j], percent, cross):
-                u, v = int(cid[i + p]), int(cid[i + q])
-                found.add((min(u, v), max(u, v)))
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    # many small groups go through one call; a block pair stays whole
-    members = saved(members, "jaccard-members")
-    calls = max(1, members.count() // (2 * BLOCK))
-    more = members.groupBy(F.pmod(F.xxhash64("tok", "x", "y"), F.lit(calls)).alias("call")).applyInArrow(traverse, "a long, b long").distinct()
-    links2 = saved(_verified(more, sets, percent), "jaccard-links2")
-    final = components(links.unionByName(links2)) if not links2.isEmpty() else joined
+    groups = saved(groups.join(least, "tok").select("tok", F.col("a").alias("root"), "cid").distinct(), "jaccard-members")
+    signs = met.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+
+    def candidates_between(joined: DataFrame, best: bool) -> DataFrame:
+        """Pairs of different components that signatures don't exclude; if best, each member's nearest by signature."""
+        there = saved(groups.join(joined, F.col("node") == F.col("cid"), "left").select("tok", "root", "cid", F.coalesce("component", "cid").alias("comp")), "jaccard-placed")
+        mixed = there.groupBy("tok").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+        members = there.join(mixed.select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "tok")
+        members = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        members = members.select("tok", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp")
+        calls = max(1, there.count() // (8 * BLOCK))
+        # groups of one root have most members in common, so signatures travel once for all of them
+        members = saved(members.withColumn("call", F.pmod(F.xxhash64("root", "x", "y"), F.lit(calls))), "jaccard-calls")
+        there_signs = members.select(F.col("call").alias("of"), F.col("cid").alias("who")).distinct().join(signs.withColumnRenamed("cid", "sign"), F.col("who") == F.col("sign")).select("of", F.col("who").alias("cid"), "n", "sig")
+        found = members.groupBy("call").cogroup(there_signs.groupBy("of")).applyInArrow(_traverse(percent, best), "a long, b long, apart long")
+        if best:
+            both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+            found = both.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return saved(found.select("a", "b").distinct(), "jaccard-pairs")
+
+    # members meet their nearest across components until none are near enough, then all that is left
+    while True:
+        pairs = candidates_between(joined, True)
+        more = saved(_verified(pairs, sets, percent), "jaccard-more")
+        if more.isEmpty():
+            break
+        links = saved(links.unionByName(more), "jaccard-links")
+        joined = components(links)
+    more = saved(_verified(candidates_between(joined, False), sets, percent), "jaccard-last")
+    final = components(links.unionByName(more)) if not more.isEmpty() else joined
     at = classes.join(final, final["node"] == node, "left").select("s1", "s2", "least", F.coalesce("component", node).alias("component"))
     named = at.groupBy("component").agg(F.min("least").cast("long").alias("component_id"))
     at = at.join(named, "component").select("s1", "s2", "component_id")
