@@ -18,9 +18,9 @@ Pairs are verified on their whole sets. No link between different components
 is lost, so components are exact.
 
 Null and empty texts and such without words have an empty set and link with
-nothing. Texts of fewer words are one shingle. Equal rows link as equal texts;
-rows of one doc_id are one document. A null doc_id takes part, and gets the
-smallest doc_id of its component, null if it has none. An empty table gives an
+nothing. Texts of fewer words are one shingle. Equal rows link as equal texts.
+A null doc_id takes part, and gets the smallest doc_id of its component, null
+if it has none. An empty table gives an
 empty result; other columns are not read.
 """
 
@@ -166,6 +166,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, for sets of n-word shingles that reach percent."""
+    return _components(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (null last), then of the smallest hash of its text. Rows without words stay."""
+    mark = F.xxhash64("text")
+    none = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
+    parts = _components(docs, n, percent).where("n_shingles > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash")))
+    kept = parts.groupBy("component").agg(least.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    rows = docs.where(~none).join(kept, (mark == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = rows.withColumn("_hash", mark).groupBy("doc_id", "_hash").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])  # equal rows
+    return rows.select(*docs.columns).unionByName(docs.where(none))
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (a set's node) and component_id of every row."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -202,13 +219,13 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     def candidates(batches):
         seen = set()
-        names = ["doc_id", "n", "s1", "s2", "set", "sig", "toks"]
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc_id", "text_hash", "n", "s1", "s2", "set", "sig", "toks"]
+        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
         for b in batches:
             data, offs = flat(b.column(1))
             kinds[0] = b.column(0).type
             for i, j in steps(offs):
-                cols: list[list] = [b.column(0).slice(i, j - i).to_pylist(), [], [], [], [], [], []]
+                cols: list[list] = [b.column(0).slice(i, j - i).to_pylist(), b.column(2).slice(i, j - i).to_pylist(), [], [], [], [], [], []]
                 for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n):
                     k = digest(s)
                     toks = np.zeros(0, U)
@@ -218,11 +235,11 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                         again = in_table(table.value, toks)
                         toks = toks[:least][again[:least]] if again.sum() > len(toks) - least else toks[:0]
                     some = len(toks) > 0
-                    for c, v in zip(cols[1:], (len(s), *k, s.view(np.int64) if some else None, signature(s).tobytes() if some else None, toks.view(np.int64) if some else None), strict=True):
+                    for c, v in zip(cols[2:], (len(s), *k, s.view(np.int64) if some else None, signature(s).tobytes() if some else None, toks.view(np.int64) if some else None), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=names)
 
-    cand = saved(docs.select("doc_id", "text").mapInArrow(candidates, f"doc_id {id_type}, n long, s1 long, s2 long, set array<long>, sig binary, toks array<long>"), "jaccard-sets")
+    cand = saved(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(candidates, f"doc_id {id_type}, text_hash long, n long, s1 long, s2 long, set array<long>, sig binary, toks array<long>"), "jaccard-sets")
     classes = saved(cand.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), "jaccard-classes")
     # a set's node is the first half of its digest; the few sets that share one get another
     shared = [r["s1"] for r in classes.groupBy("s1").count().where("count > 1").select("s1").collect()]
@@ -267,7 +284,7 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     final = components(links.unionByName(more)) if not more.isEmpty() else joined
     at = classes.join(final, final["node"] == node, "left").select("s1", "s2", "least", F.coalesce("component", node).alias("component"))
     named = at.groupBy("component").agg(F.min("least").cast("long").alias("component_id"))
-    at = at.join(named, "component").select("s1", "s2", "component_id")
-    out = cand.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(at, ["s1", "s2"], "left")
+    at = at.join(named, "component").select("s1", "s2", "component", "component_id")
+    out = cand.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s1", "s2").join(at, ["s1", "s2"], "left")
     label = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
-    return out.select("doc_id", "n_shingles", label.alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", label.alias("component_id"))

@@ -272,3 +272,21 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
             )
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose texts score below the threshold; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def work(batches):
+        m = sent.value
+        for batch in batches:
+            data, offs = flat(batch.column(at))
+            keep = np.ones(len(offs) - 1, bool)
+            for i, j in steps(offs):
+                _, _, first, p = m.marginals(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                keep[i:j] = m.scores(first, p) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(work, docs.schema)
