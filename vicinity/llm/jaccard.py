@@ -42,7 +42,7 @@ FREQUENT = 1 << 16
 BEYOND = 5
 #: Members of a block; larger groups are split.
 BLOCK = 2048
-#: Bits of a signature, as a power of two, and leaves of a tree node.
+#: Bits of a signature at least, and leaves of a tree node.
 SIGNATURE_BITS = 2048
 FAN = 8
 
@@ -70,14 +70,31 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The set as a bitmap of SIGNATURE_BITS bits, in 64-bit words."""
-    out = np.zeros(SIGNATURE_BITS // 64, U)
-    np.bitwise_or.at(out, ((s >> U(6)) % U(len(out))).astype(np.int64), U(1) << (s & U(63)))
+    """The set as a bitmap of at least four bits a shingle, in 64-bit words: SIGNATURE_BITS or a power of two times that."""
+    bits = SIGNATURE_BITS
+    while bits < 4 * len(s):
+        bits *= 2
+    out = np.zeros(bits // 64, U)
+    at = mix(s) % U(bits)
+    np.bitwise_or.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
     return out
 
 
-def close_pairs(size: np.ndarray, sig: np.ndarray, comp: np.ndarray, percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of different components that signatures don't exclude, by dual traversal of the signature tree.
+def group_pairs(size: np.ndarray, sigs: list[np.ndarray], comp: np.ndarray, percent: int, cross: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """close_pairs of members whose bitmaps differ in width: a wider one is folded to the next narrower."""
+    width = np.array([len(x) for x in sigs])
+    out = []
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        m = np.stack([sigs[i] if len(sigs[i]) == w else sigs[i][:w] | sigs[i][w:] for i in at])
+        for p, q, d in close_pairs(size[at], m, comp[at], percent, None if cross is None else cross[at]):
+            if width[at[p]] == w or width[at[q]] == w:
+                out.append((int(at[p]), int(at[q]), d))
+    return out
+
+
+def close_pairs(size: np.ndarray, sig: np.ndarray, comp: np.ndarray, percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Pairs of different components that signatures don't exclude and the bits they differ in, by dual traversal of the signature tree.
 
     cross: sides of the members (0 or 1), to pair members of different sides only.
     """
@@ -98,7 +115,7 @@ def close_pairs(size: np.ndarray, sig: np.ndarray, comp: np.ndarray, percent: in
         overlap = int(np.bitwise_count(a[2] & b[2]).sum()) + min(a[5], b[5])
         return (100 + percent) * overlap >= percent * (a[3] + b[3])
 
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     stack = [(len(levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
@@ -116,7 +133,7 @@ def close_pairs(size: np.ndarray, sig: np.ndarray, comp: np.ndarray, percent: in
                 small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
                 apart = np.bitwise_count(sig[p] ^ sig[q]).sum(1).astype(np.int64)
                 ok = (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (small + large))
-                out += zip(p[ok].tolist(), q[ok].tolist(), strict=True)
+                out += zip(p[ok].tolist(), q[ok].tolist(), apart[ok].tolist(), strict=True)
             continue
         kids = lambda k: range(k * FAN, min((k + 1) * FAN, len(levels[level - 1])))
         stack += [(level - 1, x, y) for x in kids(i) for y in kids(j) if i != j or x <= y]
@@ -131,7 +148,7 @@ def _traverse(percent: int, best: bool):
             tok, x, y, side, cid, comp = (t.column(c).to_numpy() for c in ("tok", "x", "y", "side", "cid", "comp"))
             signs = signs.sort_by("cid")
             at = np.searchsorted(signs.column("cid").to_numpy(), cid)
-            size, sig = signs.column("n").to_numpy(), np.stack([np.frombuffer(s.as_py(), U) for s in signs.column("sig")])
+            size, sig = signs.column("n").to_numpy(), [np.frombuffer(s.as_py(), U) for s in signs.column("sig")]
             cut = np.concatenate([[0], np.flatnonzero((np.diff(tok) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1, [len(tok)]]).tolist()
             done, found = set(), {}
             for i, j in zip(cut, cut[1:], strict=False):
@@ -140,11 +157,11 @@ def _traverse(percent: int, best: bool):
                 if same in done or (comp[i:j] == comp[i]).all():
                     continue
                 done.add(same)
-                for p, q in close_pairs(size[at[i:j]], sig[at[i:j]], comp[i:j], percent, cross):
+                for p, q, d in group_pairs(size[at[i:j]], [sig[k] for k in at[i:j]], comp[i:j], percent, cross):
                     u, v = int(at[i + p]), int(at[i + q])
-                    found[min(u, v), max(u, v)] = None
-            u, v = (np.array(z, np.int64) for z in (zip(*found, strict=True) if found else ((), ())))
-            apart = np.bitwise_count(sig[u] ^ sig[v]).sum(1).astype(np.int64)
+                    found[min(u, v), max(u, v)] = d
+            u, v = (np.array(z, np.int64) for z in (zip(*found.keys(), strict=True) if found else ((), ())))
+            apart = np.array(list(found.values()), np.int64)
             if best and len(u):  # the nearest of each member is enough
                 ends, other = np.concatenate([u, v]), np.concatenate([v, u])
                 by = np.lexsort((other, np.concatenate([apart, apart]), ends))
