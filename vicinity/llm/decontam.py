@@ -34,6 +34,8 @@ ITEM_BLOCK = 20_000
 RANK, OVER = 64, 8
 #: Leading dimensions left out: they tell languages and common words, which any two passages share.
 COMMON = 16
+#: An item with more of its energy than this in them (one that leaks very often) is compared in all dimensions.
+MOSTLY_COMMON, COSINE_ALL = 0.75, 0.4
 #: Cosine of a candidate; shares of an item's words in order of a verbatim leak and of a paraphrase; share of its answer.
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.5
 #: The smallest window, in words.
@@ -91,6 +93,7 @@ class Space:
         self.items = [(i, k[a:b].tolist()) for i, a, b in zip(ids, first.tolist(), first[1:].tolist(), strict=False) if b > a]
         self.idf = np.ones(len(self.vocab))
         self.basis = np.zeros((len(self.vocab), 0))
+        self.common = 0
 
     def scale(self, m: int) -> int:
         w = WINDOW
@@ -177,14 +180,15 @@ def fit_space(enc: DataFrame, space: Space, rank: int = RANK, power: int = 1, se
         q = np.linalg.qr(_sum_matrices(enc, lambda i, f, x=scaled: gram_product(i, f, x, idf, False), (n, wide)))[0]
     scaled = (idf[:, None] * q).astype(np.float32)
     values, vectors = np.linalg.eigh(_sum_matrices(enc, lambda i, f: gram_product(i, f, scaled, idf, True), (wide, wide)))
-    space.basis = q @ vectors[:, np.argsort(-values)[min(COMMON, n // 32) : rank]]
+    space.basis = q @ vectors[:, np.argsort(-values)[:rank]]
+    space.common = min(COMMON, n // 32)
 
 
 class Search:
     """Candidate search and checks of encoded documents."""
 
     def __init__(self, space: Space, cosine: float = COSINE) -> None:
-        self.cosine = cosine
+        self.cosine, self.common = cosine, space.common
         f = (space.idf[:, None] * space.basis).astype(np.float32)
         self.features = np.vstack([f, np.zeros((1, f.shape[1]), np.float32)])  # -1 is the last row
         self.items = []
@@ -202,9 +206,11 @@ class Search:
             self.member[list(masks), k] = 1
         for size, k in by.items():
             v = np.stack([self.features[space.items[i][1]].sum(0) for i in k])
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            whole = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
+            v[~whole, : self.common] = 0
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             least = np.array([self.items[i][2] for i in k]) * PARAPHRASE
-            self.scales[size] = (np.array(k), (v / np.maximum(norm, 1e-9)).T.copy(), least)
+            self.scales[size] = (np.array(k), v.T.copy(), least, whole)
 
     def leaks(self, ids: np.ndarray, first: np.ndarray):
         """text, item, cosine, share in order and share of the answer of the best passage of each leak."""
@@ -212,14 +218,17 @@ class Search:
         sums = np.zeros((len(ids) + 1, self.features.shape[1]), np.float32)
         np.cumsum(self.features[ids], axis=0, out=sums[1:])
         hits = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, (k, vectors, least) in self.scales.items():
+        for size, (k, vectors, least, whole) in self.scales.items():
             lo, hi, text = windows(first, size)
             some = hits[hi] - hits[lo] >= least.min()
             lo, hi, text = lo[some], hi[some], text[some]
             x = sums[hi] - sums[lo]
-            norm = np.linalg.norm(x, axis=1)
+            square = x * x
+            norm = np.sqrt(square[:, self.common :].sum(1))[:, None].repeat(len(k), 1)
+            norm[:, whole] = np.sqrt(square.sum(1))[:, None]
+            norm = np.maximum(norm, 1e-6)
             score = x @ vectors
-            p, q = np.nonzero((score >= self.cosine * np.maximum(norm, 1e-6)[:, None]) & ((hits[hi] - hits[lo])[:, None] >= least))
+            p, q = np.nonzero((score >= np.where(whole, COSINE_ALL, self.cosine).astype(np.float32) * norm) & ((hits[hi] - hits[lo])[:, None] >= least))
             # of a candidate's window, enough words must be the item's for it to pass below
             shared = np.zeros(len(p), np.int64)
             for x0 in range(0, len(p), 1 << 14):
@@ -238,7 +247,7 @@ class Search:
                 answer = (got >> third).bit_count() / (m - third)
                 if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
                     key = (int(text[i]), int(k[j]))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score[i, j] / max(norm[i], 1e-6))))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score[i, j] / norm[i, j])))
         return [(t, self.items[k][0], c, s, a) for (t, k), (s, a, c) in sorted(best.items())]
 
 

@@ -48,7 +48,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op4_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
     shingle = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END"
-    return f"""WITH t0 AS (SELECT template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {rows}) v(template, text)),
+    return rf"""WITH t0 AS (SELECT template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {rows}) v(template, text)),
   t1 AS (SELECT template, list_distinct({shingle}) AS h FROM t0),
   t AS (SELECT template, len(h) AS n, greatest(8, pow(2, ceil(log2(2 * len(h))))::INTEGER) AS size, unnest(h) AS s FROM t1),
   d0 AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
