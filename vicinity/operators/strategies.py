@@ -14,7 +14,7 @@ from vicinity.operators.kernel import as_arrow, coordinates, image_shifts, top_k
 #: Points that are broadcast at most, in bytes of coordinates and ids.
 BROADCAST_BYTES = 32 << 20
 #: Points of a cell on average, and of a block at most; larger cells are split.
-CELL_POINTS = 4096
+CELL_POINTS = 512
 BLOCK_POINTS = 65_536
 #: The cuts of kd cells come from so many points at most.
 SAMPLE_POINTS = 50_000

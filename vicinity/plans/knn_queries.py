@@ -10,7 +10,7 @@ from vicinity.functions import geometry as G
 from vicinity.sources.points import PointSet
 
 DAY = 86_400_000_000
-BOX2 = [86_400.0, 500.0]
+BOX2 = [86_400.0, 1000.0]
 XYZ = ["x", "y", "z"]
 XY = ["x", "y"]
 
