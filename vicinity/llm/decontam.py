@@ -35,7 +35,7 @@ RANK, OVER = 64, 8
 #: Leading dimensions left out: they tell languages and common words, which any two passages share.
 COMMON = 16
 #: An item with more of its energy than this in them (one that leaks very often) is compared in all dimensions.
-MOSTLY_COMMON, COSINE_ALL = 0.75, 0.4
+MOSTLY_COMMON, COSINE_ALL = 0.9, 0.4
 #: Cosine of a candidate; shares of an item's words in order of a verbatim leak and of a paraphrase; share of its answer.
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.5
 #: The smallest window, in words.
@@ -199,18 +199,21 @@ class Search:
                 masks[x] = masks.get(x, 0) | 1 << i
             by.setdefault(space.scale(len(w)), []).append(len(self.items))
             self.items.append((item_id, masks, len(w)))
-        self.scales = {}
+        self.scales = []
         #: whether a word (the last: none) is in an item
         self.member = np.zeros((len(self.features), len(self.items)), np.uint8)
         for k, (_, masks, _) in enumerate(self.items):
             self.member[list(masks), k] = 1
         for size, k in by.items():
             v = np.stack([self.features[space.items[i][1]].sum(0) for i in k])
-            whole = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
-            v[~whole, : self.common] = 0
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            least = np.array([self.items[i][2] for i in k]) * PARAPHRASE
-            self.scales[size] = (np.array(k), v.T.copy(), least, whole)
+            mostly = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
+            for whole in (False, True):
+                at = np.flatnonzero(mostly == whole)
+                if len(at):
+                    w = v[at] * (1.0 if whole else (np.arange(v.shape[1]) >= self.common))
+                    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+                    least = np.array([self.items[k[i]][2] for i in at]) * PARAPHRASE
+                    self.scales.append((size, np.array(k)[at], w.T.astype(np.float32).copy(), least, whole))
 
     def leaks(self, ids: np.ndarray, first: np.ndarray):
         """text, item, cosine, share in order and share of the answer of the best passage of each leak."""
@@ -218,17 +221,14 @@ class Search:
         sums = np.zeros((len(ids) + 1, self.features.shape[1]), np.float32)
         np.cumsum(self.features[ids], axis=0, out=sums[1:])
         hits = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, (k, vectors, least, whole) in self.scales.items():
+        for size, k, vectors, least, whole in self.scales:
             lo, hi, text = windows(first, size)
             some = hits[hi] - hits[lo] >= least.min()
             lo, hi, text = lo[some], hi[some], text[some]
             x = sums[hi] - sums[lo]
-            square = x * x
-            norm = np.sqrt(square[:, self.common :].sum(1))[:, None].repeat(len(k), 1)
-            norm[:, whole] = np.sqrt(square.sum(1))[:, None]
-            norm = np.maximum(norm, 1e-6)
+            norm = np.maximum(np.linalg.norm(x if whole else x[:, self.common :], axis=1), 1e-6)
             score = x @ vectors
-            p, q = np.nonzero((score >= np.where(whole, COSINE_ALL, self.cosine).astype(np.float32) * norm) & ((hits[hi] - hits[lo])[:, None] >= least))
+            p, q = np.nonzero((score >= ((COSINE_ALL if whole else self.cosine) * norm)[:, None]) & ((hits[hi] - hits[lo])[:, None] >= least))
             # of a candidate's window, enough words must be the item's for it to pass below
             shared = np.zeros(len(p), np.int64)
             for x0 in range(0, len(p), 1 << 14):
@@ -247,7 +247,7 @@ class Search:
                 answer = (got >> third).bit_count() / (m - third)
                 if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
                     key = (int(text[i]), int(k[j]))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score[i, j] / norm[i, j])))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score[i, j] / norm[i])))
         return [(t, self.items[k][0], c, s, a) for (t, k), (s, a, c) in sorted(best.items())]
 
 
