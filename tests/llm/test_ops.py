@@ -177,6 +177,34 @@ def test_leaks_are_found(spark):
     assert decontam.find_leaks(documents(spark, texts), bench.where("text is null")).count() == 0
 
 
+def test_leaks_equal_brute_force_over_all_windows(spark):
+    """Items of common words in texts of common words: no gate but the shares of words may decide."""
+    r = random.Random(200)
+    draw = lambda n: ["".join("abcdefghij"[int(c)] for c in str(100 + min(int(r.paretovariate(0.6)), 200))) for _ in range(n)]
+    items = [draw(r.randint(15, 60)) for _ in range(30)]
+    docs = [draw(r.randint(100, 300)) for _ in range(60)]
+    for i, item in enumerate(items):
+        w = list(item)
+        if i % 2:  # a paraphrase
+            w[0 : len(w) * 2 // 3 : 3] = ["other"] * len(w[0 : len(w) * 2 // 3 : 3])
+        docs[i][40:40] = w
+    want = set()
+    for k, item in enumerate(items):
+        m, masks = len(item), {}
+        for i, w in enumerate(item):
+            masks[w] = masks.get(w, 0) | 1 << i
+        size = decontam.Space([0], [" ".join(item)]).scale(m)
+        for d, text in enumerate(docs):
+            for a in range(0, max(1, len(text) - size + size // 4), size // 4):
+                got = decontam.common_subsequence(masks, m, text[a : a + size])
+                third = m - m // 3
+                if got.bit_count() / m >= 0.75 or (got.bit_count() / m >= 0.55 and (got >> third).bit_count() / (m - third) >= 0.5):
+                    want.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontam.find_leaks(documents(spark, [(d, " ".join(x)) for d, x in enumerate(docs)]), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and want >= {(i, i) for i in range(30)}
+
+
 # 6 suffix dedup
 
 

@@ -1,17 +1,18 @@
-"""Benchmark decontamination by latent semantic retrieval and paraphrase checks.
+"""Benchmark decontamination by exact word counts, paraphrase checks and a latent semantic space.
 
 1. Words of the documents become numbers in the vocabulary of the benchmark;
    words outside it can't be part of a match. Passages are windows of words
    that overlap by half, in sizes that double, so an item lies whole in a
    window of at most four times its length.
-2. Document frequencies over all passages give the weights of a TF-IDF matrix
+2. A passage and an item are candidates if the passage holds enough of the
+   item's words, each as often as the item has it at most, for the check below
+   to pass. The count bounds the common subsequence, so no leak is lost here.
+3. A candidate is a leak if the longest common subsequence of words holds most
+   of the item, or much of it and half of its answer, its last third.
+4. Document frequencies over all passages give the weights of a TF-IDF matrix
    of passages and vocabulary; a distributed randomised SVD (subspace
    iteration with random start, each pass a sum over all passages) gives the
-   latent space.
-3. Passages and items whose latent vectors' cosine reaches a threshold are
-   candidates.
-4. A candidate is a leak if the longest common subsequence of words holds most
-   of the item, or much of it and half of its answer, its last third.
+   latent space. A leak's cosine there is reported; it decides nothing.
 
 Null and empty texts match nothing, nor do items without words. Whole texts
 are searched, however long. Equal rows give equal rows. Empty tables give an
@@ -35,12 +36,14 @@ RANK, OVER = 64, 8
 #: Leading dimensions left out: they tell languages and common words, which any two passages share.
 COMMON = 16
 #: An item with more of its energy than this in them (one that leaks very often) is compared in all dimensions.
-MOSTLY_COMMON, COSINE_ALL = 0.9, 0.4
-#: Cosine of a candidate; shares of an item's words in order of a verbatim leak and of a paraphrase; share of its answer.
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.5
+MOSTLY_COMMON = 0.9
+#: Shares of an item's words in order of a verbatim leak and of a paraphrase; share of its answer.
+VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.5
 #: The smallest window, in words.
 WINDOW = 24
 STEP_WORDS = 1 << 16
+#: Items counted together, and candidates whose words are counted together.
+ITEM_GROUP, CANDIDATES = 512, 1 << 13
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +190,8 @@ def fit_space(enc: DataFrame, space: Space, rank: int = RANK, power: int = 1, se
 class Search:
     """Candidate search and checks of encoded documents."""
 
-    def __init__(self, space: Space, cosine: float = COSINE) -> None:
-        self.cosine, self.common = cosine, space.common
+    def __init__(self, space: Space) -> None:
+        self.common = space.common
         f = (space.idf[:, None] * space.basis).astype(np.float32)
         self.features = np.vstack([f, np.zeros((1, f.shape[1]), np.float32)])  # -1 is the last row
         self.items = []
@@ -199,59 +202,71 @@ class Search:
                 masks[x] = masks.get(x, 0) | 1 << i
             by.setdefault(space.scale(len(w)), []).append(len(self.items))
             self.items.append((item_id, masks, len(w)))
-        self.scales = []
-        #: whether a word (the last: none) is in an item
-        self.member = np.zeros((len(self.features), len(self.items)), np.uint8)
-        for k, (_, masks, _) in enumerate(self.items):
-            self.member[list(masks), k] = 1
-        for size, k in by.items():
-            v = np.stack([self.features[space.items[i][1]].sum(0) for i in k])
-            mostly = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
-            for whole in (False, True):
-                at = np.flatnonzero(mostly == whole)
-                if len(at):
-                    w = v[at] * (1.0 if whole else (np.arange(v.shape[1]) >= self.common))
-                    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-                    least = np.array([self.items[k[i]][2] for i in at]) * PARAPHRASE
-                    self.scales.append((size, np.array(k)[at], w.T.astype(np.float32).copy(), least, whole))
+        #: size, items, how often each has each word (the last: none), the least words of a leak, latent vectors, whole
+        self.groups = []
+        for size, every in by.items():
+            for g in range(0, len(every), ITEM_GROUP):
+                k = every[g : g + ITEM_GROUP]
+                times = np.zeros((len(self.features), len(k)), np.uint8 if size < 256 else np.int32)
+                for c, i in enumerate(k):
+                    for w, mask in self.items[i][1].items():
+                        times[w, c] = mask.bit_count()
+                least = np.array([-int(-(self.items[i][2] * PARAPHRASE - 1e-9) // 1) for i in k])
+                v = np.stack([self.features[space.items[i][1]].sum(0) for i in k])
+                whole = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
+                v[~whole, : self.common] = 0
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                self.groups.append((size, np.array(k), times, least, v, whole))
 
     def leaks(self, ids: np.ndarray, first: np.ndarray):
         """text, item, cosine, share in order and share of the answer of the best passage of each leak."""
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        sums = np.zeros((len(ids) + 1, self.features.shape[1]), np.float32)
-        np.cumsum(self.features[ids], axis=0, out=sums[1:])
         hits = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, k, vectors, least, whole in self.scales:
+        n = np.diff(first)
+        for size, k, times, least, vectors, whole in self.groups:
+            # a window is four blocks of a quarter of its size, fewer at a text's end
+            step = size // 4
             lo, hi, text = windows(first, size)
             some = hits[hi] - hits[lo] >= least.min()
             lo, hi, text = lo[some], hi[some], text[some]
-            x = sums[hi] - sums[lo]
-            norm = np.maximum(np.linalg.norm(x if whole else x[:, self.common :], axis=1), 1e-6)
-            score = x @ vectors
-            p, q = np.nonzero((score >= ((COSINE_ALL if whole else self.cosine) * norm)[:, None]) & ((hits[hi] - hits[lo])[:, None] >= least))
-            # of a candidate's window, enough words must be the item's for it to pass below
-            shared = np.zeros(len(p), np.int64)
-            for x0 in range(0, len(p), 1 << 14):
-                pc, qc = p[x0 : x0 + (1 << 14)], k[q[x0 : x0 + (1 << 14)]]
+            if not len(lo):
+                continue
+            base = np.concatenate([[0], np.cumsum(-(-n // step))])
+            words_at = np.full(base[-1] * step, -1, np.int32)
+            words_at[np.arange(len(ids)) + np.repeat(base[:-1] * step - first[:-1], n)] = ids
+            member = (times > 0).view(np.uint8)
+            held = np.zeros((base[-1], len(k)), times.dtype)
+            for column in words_at.reshape(-1, step).T:
+                held += member[column]
+            block = base[text] + (lo - first[text]) // step
+            count = held[block]
+            for i in range(1, 4):
+                inside = np.flatnonzero(lo + i * step < hi)
+                count[inside] += held[block[inside] + i]
+            p, q = np.nonzero(count >= least)
+            for x0 in range(0, len(p), CANDIDATES):
+                pc, qc = p[x0 : x0 + CANDIDATES], q[x0 : x0 + CANDIDATES]
                 at = lo[pc][:, None] + np.arange(size)
-                w = np.where(at < hi[pc][:, None], ids[np.minimum(at, len(ids) - 1)], -1)
-                shared[x0 : x0 + len(pc)] = self.member[w, qc[:, None]].sum(1, dtype=np.int64)
-            ok = shared >= least[q]
-            p, q = p[ok], q[ok]
-            for i, j in zip(p.tolist(), q.tolist(), strict=True):
-                item_id, masks, m = self.items[k[j]]
-                passage = [w for w in ids[lo[i] : hi[i]].tolist() if w in masks]
-                got = common_subsequence(masks, m, passage)
-                share = got.bit_count() / m
-                third = m - m // 3 if m >= 3 else 0
-                answer = (got >> third).bit_count() / (m - third)
-                if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
-                    key = (int(text[i]), int(k[j]))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score[i, j] / norm[i])))
+                w = np.sort(np.where(at < hi[pc][:, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
+                start = np.where(np.diff(w, axis=1, prepend=-2) != 0, np.arange(size), 0)
+                nth = np.arange(size) - np.maximum.accumulate(start, axis=1)  # of its word in the window
+                ok = (nth < times[w, qc[:, None]]).sum(1) >= least[qc]
+                for i, j in zip(pc[ok].tolist(), qc[ok].tolist(), strict=True):
+                    _, masks, m = self.items[k[j]]
+                    passage = ids[lo[i] : hi[i]]
+                    got = common_subsequence(masks, m, [w for w in passage.tolist() if w in masks])
+                    share = got.bit_count() / m
+                    third = m - m // 3 if m >= 3 else 0
+                    answer = (got >> third).bit_count() / (m - third)
+                    if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
+                        x = self.features[passage].sum(0)
+                        norm = max(float(np.linalg.norm(x if whole[j] else x[self.common :])), 1e-6)
+                        key = (int(text[i]), int(k[j]))
+                        best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, answer, float(x @ vectors[j]) / norm))
         return [(t, self.items[k][0], c, s, a) for (t, k), (s, a, c) in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, item_id, cosine, lcs_share, answer_share of every document and item it leaks."""
     spark = docs.sparkSession
     items = saved(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null"), "decontam-items")
@@ -279,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
 
         enc = saved(docs.select(*keys, F.col("text").cast("string")).mapInArrow(encode, f"{head}, words binary"), "decontam-words")
         fit_space(enc, space)
-        search = spark.sparkContext.broadcast(Search(space, cosine))
+        search = spark.sparkContext.broadcast(Search(space))
 
         def look(batches, search=search):
             for cols, ids, first in _batches(batches, len(keys)):
