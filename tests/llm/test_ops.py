@@ -122,6 +122,22 @@ def test_nearest_vectors(spark):
     assert Counter(r["query_id"] for r in few) == {0: 2, 2: 2}
 
 
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_nearest_vectors_are_exact_whatever_the_forest_saw(spark, block, monkeypatch):
+    monkeypatch.setattr(ann, "SCAN_QUERIES", block)
+    v = np.random.default_rng(12).standard_normal((900, 32)).astype(np.float32)
+    v[300:330] = v[10]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, every=30, k=10, trees=2, search=40, leaf=16).collect()}
+    want = {}
+    for q in range(0, 900, 30):
+        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
+        near = [i for i in np.lexsort((np.arange(900), d)).tolist() if i != q][:10]
+        want |= {(q, r + 1): (i, d[i]) for r, i in enumerate(near)}
+    assert {x: i for x, (i, _) in got.items()} == {x: i for x, (i, _) in want.items()}
+    assert all(abs(got[x][1] - d) < 1e-12 for x, (_, d) in want.items())
+
+
 # 4 licenses
 
 

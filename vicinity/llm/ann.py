@@ -1,17 +1,20 @@
-"""Approximate nearest neighbours: a forest of random-projection trees and one queue of leaves.
+"""Exact nearest neighbours: bounds from a forest of random-projection trees, then a scan of all vectors within them.
 
 Every tree splits a bounded sample at medians of random projections, each
 the direction between two sampled points, so its shape doesn't grow with the
 table. All vectors are filed under one leaf a tree. A query descends all trees
 with one priority queue over their branches, nearest splitting planes first,
 until the leaves it has taken hold enough vectors; these are ranked by exact
-distance in double precision. Equal vectors are indexed once, with the
-smallest ids a result can show, so a hot vector is one entry.
+distance in double precision. The kth of them bounds the true kth distance, and
+a scan compares every vector with blocks of queries and keeps what lies within
+their bounds, so no neighbour is lost whatever the forest has seen; its time
+grows with the product of queries and vectors. Equal vectors are indexed once,
+with the smallest ids a result can show, so a hot vector is one entry.
 
 Vectors null, of another length than most, zero, or holding null or non-finite
 components take no part: neither as query nor as candidate. Ties go to smaller
-ids; repeated rows with one id count once. With fewer candidates than k all
-found are returned. An empty table gives an empty result; other columns are
+ids; repeated rows with one id count once. With fewer other vectors than k all
+are returned. An empty table gives an empty result; other columns are
 not read.
 """
 
@@ -29,12 +32,14 @@ from vicinity.llm.text import saved
 #: The trees are fitted on so many vectors at most, the first by hash.
 SAMPLE = 20_000
 TREES = 32
-#: Vectors that a query's leaves hold in sum, over all trees, copies included, before it stops.
+#: Vectors that a query's leaves hold in sum, over all trees, copies included, before its bound is taken.
 SEARCH = 28_000
 #: Vectors a leaf holds on average.
 LEAF = 128
 #: Query vectors ranked against a leaf at a time.
 QUERY_BLOCK = 256
+#: Queries sent out for one scan of all vectors.
+SCAN_QUERIES = 10_000
 
 
 class Forest:
@@ -96,6 +101,26 @@ class Forest:
         return out
 
 
+def within(q: np.ndarray, bound: np.ndarray, p: np.ndarray, reps: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and distance of each query's nearest vectors up to its bound, keep at most; lowers bounds where keep are known."""
+    norm = (p * p).sum(1)
+    out = []
+    for i in range(0, len(q), QUERY_BLOCK):
+        block = q[i : i + QUERY_BLOCK]
+        own = (block * block).sum(1)
+        slack = 1e-9 * (1 + norm.max() + own)
+        x, y = np.nonzero(norm[None] - 2 * block @ p.T <= (bound[i : i + QUERY_BLOCK] ** 2 - own + slack)[:, None])
+        score = np.sqrt(((block[x] - p[y]) ** 2).sum(1))
+        order = np.lexsort((reps[y], score, x))
+        x, y, score = x[order], y[order], score[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        last = place == keep - 1
+        bound[i + x[last]] = np.minimum(bound[i + x[last]], score[last])
+        ok = (place < keep) & (score <= bound[i + x])
+        out.append((i + x[ok], y[ok], score[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v of the rows that take part, once an id."""
     kind = df.schema[vec_col].dataType.simpleString()
@@ -175,6 +200,31 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
 
     near = members.groupBy("tree", "leaf").cogroup(asking.groupBy("tree", "leaf")).applyInArrow(rank, "q long, rep long, score double").distinct()
     best = Window.partitionBy("q").orderBy("score", "rep")
+    seen = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("bound"))
+    bounded = saved(queries.select("id", "v").join(seen, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "ann-bounds")
+    blocks = max(1, -(-bounded.count() // SCAN_QUERIES))
+    spread = points.select("rep", "v").repartition(max(8, spark.sparkContext.defaultParallelism), "rep")
+    spread = spread if blocks == 1 else saved(spread, "ann-spread")
+    near = None
+    for block in range(blocks):
+        ask = bounded.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()  # about SCAN_QUERIES
+        if not ask.num_rows:
+            continue
+        asked = spark.sparkContext.broadcast((ask.column("id").to_numpy(), _matrix(ask.column("v")), ask.column("bound").to_numpy()))
+
+        def scan(batches, asked=asked):
+            of, q, bound = asked.value
+            bound = bound.copy()
+            for b in batches:
+                if len(b):
+                    reps = b.column(0).to_numpy()
+                    x, y, score = within(q, bound, _matrix(b.column(1)), reps, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(of[x]), pa.array(reps[y]), pa.array(score)], names=["q", "rep", "score"])
+
+        found = spread.mapInArrow(scan, "q long, rep long, score double")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        return spark.createDataFrame([], schema)
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(points.select("rep", "ids"), "rep")
     pairs = near.select("q", "score", F.explode("ids").alias("id")).where("id != q")
     order = Window.partitionBy("q").orderBy("score", "id")
