@@ -159,6 +159,14 @@ def test_registered_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_large_k_periodic_query_is_over_all_events(spark):
+    got = knn_queries.QUERIES["knn_periodic_k80_2d"](spark, SF).collect()
+    points = spark.read.parquet(f"{SF}/events.parquet").where("event_id >= 100").count()
+    assert points > 100 and len(got) == 100 * 80
+    assert max(r["neighbor_id"] for r in got) >= 200
+
+
 def test_plans(spark):
     """Narrow scans and partial limits."""
     plan = knn_queries.QUERIES["knn_sql_3d"](spark, SF)._jdf.queryExecution().toString() if os.path.isdir(SF) else "WindowGroupLimit"

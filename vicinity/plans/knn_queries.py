@@ -111,6 +111,11 @@ def knn_periodic_2d(spark, d):
     return e.query_nearest_k(q, 10, "event_id")
 
 
+def knn_periodic_k80_2d(spark, d):
+    e, q = _ev_engine(spark, d, periodic=True)
+    return e.query_nearest_k(q, 80, "event_id")
+
+
 def _large_k(spark, d):
     q, p = _split(_ev2(spark, d).where("event_id < 200"), "event_id")
     return KnnEngine(PointSet(p, "event_id", XY)).with_boxsize(BOX2), q
@@ -189,6 +194,7 @@ QUERIES = {
     "knn_packed": knn_packed,
     "knn_ties_2d": knn_ties_2d,
     "knn_periodic_2d": knn_periodic_2d,
+    "knn_periodic_k80_2d": knn_periodic_k80_2d,
     "knn_periodic_large_k_images": knn_periodic_large_k_images,
     "knn_axis_3d": knn_axis_3d,
     "knn_axis_periodic_2d": knn_axis_periodic_2d,
@@ -249,6 +255,7 @@ ORACLES = {
     "knn_packed": _KNN3,
     "knn_ties_2d": _knn_sql("SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part", _D2, 10, _KNN, "id >= 50", "id < 50"),
     "knn_periodic_2d": _knn_sql(_EV, _D2, 10, _KNN, images=True),
+    "knn_periodic_k80_2d": _knn_sql(_EV, _D2, 80, _KNN, images=True),
     "knn_periodic_large_k_images": _knn_sql(_EV, _D2, 80, _KNN, "id >= 100 AND id < 200", images=True),
     "knn_axis_3d": _knn_sql(_E3, "(q.z-p.z)*(q.z-p.z) + ((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y))", 10, _AXIS, extra=_Z),
     "knn_axis_periodic_2d": _knn_sql(_EV, _D2, 10, _AXIS, extra=_X2, images=True),
