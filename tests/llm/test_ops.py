@@ -72,6 +72,18 @@ def test_chat_links_orders_and_validates(spark):
     assert {r["json"] for r in out.collect()} >= {'{"content":"hi","role":"user"}', '{"content":"","role":"unknown"}'}
 
 
+def test_chat_messages_carry_their_calls(spark):
+    call = lambda i, n, a: f'<tool_call>{{"id":"{i}","name":"{n}","arguments":{a}}}</tool_call>'
+    text = call("b", "search", '{"query":"$ref:a","limit":3}') + call("a", "lookup", '{"id":7}') + call("a", "run", "{}") + "<tool_call>{bad</tool_call>"
+    rows = [(1, 1, "assistant", text), (1, 2, "tool", '<tool_result>{"id":"a","content":"r \\"1\\""}</tool_result>'), (None, 5, "assistant", call("c", "run", "{}"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in chat.format_chat(df, spark.createDataFrame(queries.TOOLS, chat.SCHEMA_ROWS)).collect()}
+    assert {k: (r["n_calls"], r["n_linked"], r["max_level"]) for k, r in got.items()} == {1: (4, 1, 1), 2: (0, 0, None), 5: (1, 0, None)}
+    calls = '[{"arguments":{"limit":3,"query":"$ref:a"},"id":"b","level":1,"name":"search"},{"arguments":{"id":7},"id":"a","level":0,"name":"lookup","result":"r \\"1\\""},{"arguments":{},"id":"a","name":"run"},{}]'
+    assert got[1]["json"].startswith('{"calls":' + calls + ',"content":"') and got[2]["json"].startswith('{"content":')
+    assert got[5]["json"].startswith('{"calls":[{"arguments":{},"id":"c","name":"run"}],"content":')
+
+
 # 2 token counts
 
 

@@ -17,7 +17,9 @@ assistant turn that follows it by number is its result.
 * Arguments are validated against the tool's schema (required names and types
   of parameters); a tool without a schema is unknown.
 * The JSON of a message has its keys in order of code points, no white space
-  outside strings, and arguments likewise at all levels.
+  outside strings, and arguments likewise at all levels. A message with calls
+  has all of them in order, each with what is known of its arguments, id, level,
+  name and result; one that is unlinked has no level and no result.
 
 A null text is empty, a null role "unknown". Malformed JSON is a call without
 identifier and unlinked. Repeated rows link as duplicates. Rows with a null
@@ -120,10 +122,30 @@ def link_calls(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     return linked.select("conv_id", "id", "name", canonical_arguments(F.col("arguments")).alias("arguments"), F.col("turn").alias("call_turn"), "place", "level", "validity", "result_turn", "content")
 
 
+def calls_json(text: Column, linked: Column) -> Column:
+    """The JSON array of a text's calls in order; linked: structs of its turn's calls from link_calls."""
+
+    def one(j: Column, i: Column) -> Column:
+        id_, name, arguments = F.get_json_object(j, "$.id"), F.get_json_object(j, "$.name"), canonical_arguments(F.get_json_object(j, "$.arguments"))
+        own = F.get(F.filter(linked, lambda x: (x["place"] == i) & (x["id"] == id_) & x["name"].eqNullSafe(name) & x["arguments"].eqNullSafe(arguments)), F.lit(0))
+        field = lambda key, value, raw: F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), raw))
+        return F.concat(
+            F.lit("{"),
+            F.concat_ws(
+                ",", field("arguments", arguments, arguments), field("id", id_, quoted(id_)), field("level", own["level"], own["level"].cast("string")),
+                field("name", name, quoted(name)), field("result", own["content"], quoted(own["content"])),
+            ),
+            F.lit("}"),
+        )
+
+    return F.concat(F.lit("["), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(CALL), F.lit(1)), one), ","), F.lit("]"))
+
+
 def format_chat(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row a message: conv_id, turn, role, position, reply_to, answered_by, n_calls, n_linked, n_valid, max_level, json.
 
     position is the message's place when results follow their calls: a turn with a result is never before its call's.
+    n_calls counts all calls of the text, n_linked and n_valid those of its turn that have an identifier of their own.
     """
     msgs = messages(turns)
     # plain turns: a user turn is answered by the assistant turn of the next number
@@ -131,7 +153,7 @@ def format_chat(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     asked = plain("user").select("conv_id", F.col("turn").alias("reply_to"), (F.col("turn") + 1).alias("answered_by"))
     pairs = plain("assistant").select("conv_id", F.col("turn").alias("answered_by")).join(asked.hint("shuffle_hash"), ["conv_id", "answered_by"])
     calls = link_calls(turns, schemas)
-    stats = calls.groupBy("conv_id", F.col("call_turn").alias("turn")).agg(F.count("*").alias("calls"), F.count("result_turn").alias("linked"), F.count_if(F.col("validity") == "valid").alias("valid"), F.max("level").alias("max_level"))
+    stats = calls.groupBy("conv_id", F.col("call_turn").alias("turn")).agg(F.collect_list(F.struct("place", "id", "name", "arguments", "level", "content")).alias("calls"), F.count("result_turn").alias("linked"), F.count_if(F.col("validity") == "valid").alias("valid"), F.max("level").alias("max_level"))
     late = calls.where("result_turn is not null").groupBy("conv_id", F.col("result_turn").alias("turn")).agg(F.max("call_turn").alias("after"))
     out = msgs.join(pairs.select("conv_id", F.col("answered_by").alias("turn"), "reply_to"), ["conv_id", "turn"], "left")
     out = out.withColumn("reply_to", F.when(F.col("role") == "assistant", F.col("reply_to")))
@@ -139,10 +161,13 @@ def format_chat(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     out = out.withColumn("answered_by", F.when(F.col("role") == "user", F.col("answered_by")))
     out = out.join(stats, ["conv_id", "turn"], "left").join(late, ["conv_id", "turn"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    n_calls = F.when(F.contains("text", F.lit("<tool_call>")), F.size(F.regexp_extract_all("text", F.lit(CALL), F.lit(1)))).otherwise(F.lit(0)).cast("long")
+    linked = F.coalesce("calls", F.array().cast(out.schema["calls"].dataType))
     body = F.concat(
-        F.lit('{"content":'), quoted(F.col("text")),
+        F.lit("{"), F.when(n_calls > 0, F.concat(F.lit('"calls":'), calls_json(F.col("text"), linked), F.lit(","))).otherwise(F.lit("")),
+        F.lit('"content":'), quoted(F.col("text")),
         F.when(F.col("reply_to").isNotNull(), F.concat(F.lit(',"reply_to":'), F.col("reply_to").cast("string"))).otherwise(F.lit("")),
         F.lit(',"role":'), quoted(F.col("role")), F.lit("}"),
     )
     position = F.greatest(F.col("turn"), F.coalesce(F.col("after"), F.col("turn")))
-    return out.select("conv_id", "turn", "role", position.alias("position"), "reply_to", "answered_by", zero("calls").alias("n_calls"), zero("linked").alias("n_linked"), zero("valid").alias("n_valid"), "max_level", body.alias("json"))
+    return out.select("conv_id", "turn", "role", position.alias("position"), "reply_to", "answered_by", n_calls.alias("n_calls"), zero("linked").alias("n_linked"), zero("valid").alias("n_valid"), "max_level", body.alias("json"))
