@@ -169,6 +169,17 @@ def test_license_scan_equals_sql(spark):
     assert licenses.scan_licenses(docs, licenses.default_templates(spark).limit(0)).count() == 0
 
 
+def test_short_templates_are_found_inside_longer_texts(spark):
+    r = random.Random(8)
+    texts = [(1, f"{sentence(r, 30)} MIT-licensed, {sentence(r, 50)}"), (2, "mit licensed"), (3, "mit not licensed at all here"), (4, None), (5, f"{sentence(r, 9)} All rights reserved"), (6, "PD"), (7, f"{sentence(r, 5)} pd {dict(licenses.TEMPLATES)['mit-line']}")]
+    extra = spark.createDataFrame([("mit-2", "MIT licensed"), ("all", "all rights reserved"), ("pd", "PD"), ("none", "")], "template string, text string")
+    got = licenses.scan_licenses(documents(spark, [*texts, texts[0]]), licenses.default_templates(spark).unionByName(extra)).collect()
+    assert sorted((x["doc_id"], x["template"], x["n_shingles"], x["matched"], x["containment"]) for x in got) == [
+        (1, "mit-2", 1, 1, 1.0), (2, "mit-2", 1, 1, 1.0), (5, "all", 1, 1, 1.0), (6, "pd", 1, 1, 1.0), (7, "mit-line", 1, 1, 1.0), (7, "pd", 1, 1, 1.0)
+    ]
+    assert {x["doc_id"]: (x["n_windows"], x["first_shingle"]) for x in got if x["template"] == "mit-2"} == {1: (2, 24), 2: (1, 0)}
+
+
 # 5 decontamination
 
 

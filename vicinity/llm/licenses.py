@@ -8,6 +8,8 @@ bands is one minimum hash: a window that holds 0.8 of a template has a Jaccard
 similarity of at least 0.8 / 4.2 with it, so it misses all bands with a
 probability below (1 - 0.19)**BANDS, under 0.000002. Windows that share no
 shingle with any template can't share a minimum, and are left out beforehand.
+Templates of fewer than five words are one shingle of their own length, looked
+up in the texts' shingles of that length without bands.
 
 Null and empty texts match nothing. Whole texts are scanned, however long, in
 the row's own task; only the templates, a checked small table, are broadcast.
@@ -47,10 +49,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def runs(w: Column, n: int) -> Column:
+    """Hashes of the runs of n words, in order, of at least n words."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(n)]))
+
+
 def shingles(w: Column) -> Column:
     """Hashes of the runs of SHINGLE words, in order; one of all words, if fewer; none without words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(SHINGLE)]))
-    return F.when(F.size(w) >= SHINGLE, runs).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(w) >= SHINGLE, runs(w, SHINGLE)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def minimum(h: Column, band: Column) -> Column:
@@ -59,8 +65,8 @@ def minimum(h: Column, band: Column) -> Column:
 
 
 def template_table(templates: DataFrame) -> DataFrame:
-    """template, h (distinct shingles), window (size in shingles)."""
-    t = templates.select("template", F.explode(F.array(words(F.col("text")))).alias("w")).select("template", F.array_distinct(shingles(F.col("w"))).alias("h")).where(F.size("h") > 0)
+    """template, h (distinct shingles), window (size in shingles) of the templates of at least SHINGLE words."""
+    t = templates.select("template", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w") >= SHINGLE).select("template", F.array_distinct(shingles(F.col("w"))).alias("h"))
     size = F.greatest(F.lit(SMALLEST_WINDOW), F.pow(F.lit(2), F.ceil(F.log2(2 * F.size("h")))).cast("int"))
     return t.withColumn("window", size)
 
@@ -69,8 +75,31 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "template string, text string")
 
 
+def scan_short(docs: DataFrame, short: DataFrame, n: int) -> DataFrame:
+    """scan_licenses for templates (template, w) of n words, fewer than SHINGLE."""
+    t = short.where(F.size("w") == n).select("template", runs(F.col("w"), n)[0].alias("s"))
+    some = F.array(*[F.lit(r["s"]) for r in t.select("s").distinct().collect()])  # as bounded as the templates
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same"), F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w") >= n)
+    rows = rows.select("doc_id", "same", F.explode(F.array(runs(F.col("w"), n))).alias("h")).where(F.arrays_overlap("h", some))
+    starts = F.sequence(F.lit(0), F.size("h") - 1, F.lit(SMALLEST_WINDOW // 2))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_intersect(F.slice("h", i + 1, F.lit(SMALLEST_WINDOW)), some).alias("s")))
+    met = rows.select("doc_id", "same", F.explode(cut).alias("c")).select("doc_id", "same", F.col("c.at").alias("at"), F.explode("c.s").alias("s")).join(F.broadcast(t), "s")
+    # equal rows count once
+    best = met.groupBy("doc_id", "same", "template").agg(F.count_distinct("at").alias("n_windows"), F.min("at").alias("first_shingle"))
+    return best.select("doc_id", "template", F.lit(1).alias("n_shingles"), F.lit(1).alias("matched"), F.lit(1.0).alias("containment"), "n_windows", "first_shingle")
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template, n_shingles, matched (shingles in the best window), containment, n_windows that reach it, first_shingle."""
+    short = templates.select("template", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w").between(1, SHINGLE - 1)).cache()
+    counts = {r["n"]: r["count"] for r in short.groupBy(F.size("w").alias("n")).count().collect()}
+    if counts:
+        if sum(counts.values()) > MOST_SHINGLES:
+            raise ValueError(f"{sum(counts.values())} short templates; split them into scans of {MOST_SHINGLES} at most")
+        out = scan_licenses(docs, templates.where(F.size(words(F.col("text"))) >= SHINGLE), containment)
+        for n in sorted(counts):
+            out = out.unionByName(scan_short(docs, short, n))
+        return out
     t = template_table(templates).cache()
     sizes = t.agg(F.sum(F.size("h")), F.array_sort(F.collect_set("window")), F.array_distinct(F.flatten(F.collect_list("h")))).first()
     if not sizes[0]:
