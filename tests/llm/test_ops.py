@@ -451,6 +451,11 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_blocks_keep_formulas_and_fallbacks():
+    page = "<body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><p>See<object data='a'>the table</object>or<video><source src='b'>the film</video></p><p>A<svg><style>.a{}</style><text>label</text></svg><noscript>plain</noscript><script>no()</script></p></body>"
+    assert [b[0] for b in html_text.leaf_blocks(page)] == ["Let x=2 hold.", "See the table or the film", "A label plain"]
+
+
 def test_html_held_out_layouts():
     number, w, trans = html_text.train(400, 21)
     model = ({f: float(w[k]) for f, k in number.items()}, trans)

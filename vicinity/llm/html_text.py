@@ -31,8 +31,10 @@ NAME = re.compile(r"[a-z]+")
 #: Elements that start and end blocks; those without content; those whose content is never text of the page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button title head audio video".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+SKIPPED = frozenset("script style template iframe canvas select textarea button title head".split())
+#: Elements set apart from the words around them, whose text (formulas, labels, fallbacks) is inline text of its block.
+APART = frozenset("math svg object audio video noscript".split())
+RAW = frozenset("script style textarea title iframe".split())
 #: Elements that a new one of the first kind ends, up to the given border.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 #: Words of classes, ids and roles, by what they tell.
@@ -99,7 +101,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset[str]]],
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag == "br" or tag in APART:
             text.append(" ")
             continue
         if tag == "a":
