@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import saved
+from vicinity.llm.text import Scratch
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -22,13 +22,15 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of links (a, b); each round is written to the shared folder."""
-    pairs = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components")
-    state = None
-    while True:
-        pairs = saved(_star(_star(pairs, True), False), "components")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+    """node, component (its smallest node) of every node of links (a, b); each round is written to the shared folder, the one before goes."""
+    with Scratch(links.sparkSession, "components") as scratch:
+        pairs = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+        state = None
+        while True:
+            before, pairs = pairs, scratch.save(_star(_star(pairs, True), False), "round", keep=True)
+            scratch.drop(before)
+            now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == state:
+                break
+            state = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

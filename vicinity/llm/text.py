@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import re
 import sys
+import threading
 import types
 import uuid
 from collections.abc import Iterator
@@ -29,35 +33,110 @@ def worker_store() -> dict:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, which all executors share."""
+    """A fresh path in the folder of spark.checkpoint.dir, which all executors share. Only a local master may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/vicinity-checkpoints"  # single-machine sessions only
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "/tmp/vicinity-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session has none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/vicinity-checkpoints")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writers: dict = {"lock": threading.Lock(), "n": 0, "before": None}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
-
-    Its shuffle files go when it is written.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """While any thread writes, shuffle files go as their query ends."""
+    with _writers["lock"]:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers["n"] += 1
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _writers["lock"]:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                before = _writers["before"]
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+_scope: contextvars.ContextVar = contextvars.ContextVar("vicinity_scratch", default=None)
+
+
+class Scratch:
+    """The tables that one run of an operator writes to the shared folder.
+
+    Each is Parquet, read back, which cuts its lineage. Superseded ones go by
+    drop(), the others when the run ends, but for those that its result reads
+    (keep), which go with the run around it, if there is one.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, shared_dir(spark, name)
+        self.tables: list[list] = []  # of each: data frame, path, whether it is kept
+        self.number = 0
+
+    def __enter__(self) -> Scratch:
+        self.around = _scope.get()
+        self.token = _scope.set(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scope.reset(self.token)
+        for table in self.tables:
+            if table[2] and kind is None:
+                if self.around is not None:
+                    self.around.tables.append([None, table[1], False])
+            else:
+                self._delete(table[1])
+
+    def save(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = f"{self.root}/{self.number}-{name}"
+        self.number += 1
+        self.tables.append([None, path, keep])
+        with _shuffles_freed(self.spark):
+            df.write.parquet(path)
+        self.tables[-1][0] = out = self.spark.read.schema(df.schema).parquet(path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for table in [t for t in self.tables if any(t[0] is f for f in frames)]:
+            self._delete(table[1])
+            self.tables.remove(table)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """One table of a Scratch of its own that stays until the run around it ends."""
+    with Scratch(df.sparkSession, name) as s:
+        return s.save(df, name, keep=True)
+
+
+def row_of(docs: DataFrame, *without: str):
+    """The columns of docs as one struct, so that none clashes with an operator's own."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without])
+
+
+def by_table(rows: DataFrame, key: str, table, yes: bool) -> DataFrame:
+    """The rows whose 64-bit key is in a broadcast repeat table, or those whose key isn't; no shuffle."""
+    at = rows.columns.index(key)
+
+    def work(batches):
+        for b in batches:
+            hit = in_table(table.value, b.column(at).to_numpy().view(U))
+            yield b.filter(pa.array(hit if yes else ~hit))
+
+    return rows.mapInArrow(work, rows.schema)
 
 
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
@@ -174,21 +253,26 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
     return range_hashes(s, lo, hi, BASE2), begin
 
 
-#: Bits of a repeat table: 8 MB, whatever the input.
-TABLE_BITS = 26
+#: Bits of a repeat table at least and at most: 128 KB and 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def repeat_table(hashes: DataFrame, col: str = "h") -> np.ndarray:
-    """A bit table of 64-bit hashes. Of fixed size: it lets through all that are in, and few others while it is sparse."""
+    """A bit table of distinct 64-bit hashes: it lets through all that are in it, and few others.
+
+    Eight bits a hash, up to MOST_BITS, from where it lets through more others; so it is for filters ahead of exact decisions.
+    """
     from pyspark.sql import functions as F
 
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - TABLE_BITS}) % 64 as int))")
-    words = hashes.groupBy(F.shiftrightunsigned(col, 64 - TABLE_BITS + 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - bits}) % 64 as int))")
+    words = hashes.groupBy(F.shiftrightunsigned(col, 64 - bits + 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return table.view(U)
 
 
 def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> U(64 - TABLE_BITS)
+    slot = h >> U(64 - (len(table).bit_length() - 1) - 6)
     return ((table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1)).astype(bool)
