@@ -1,49 +1,57 @@
-"""Benchmark decontamination by exact word counts, paraphrase checks and a latent semantic space.
+"""Benchmark decontamination by latent semantic retrieval, then common subsequences and answers.
 
 1. Words of the documents become numbers in the vocabulary of the benchmark;
    words outside it can't be part of a match. Passages are windows of words
-   that overlap by half, in sizes that double, so an item lies whole in a
-   window of at most four times its length.
-2. A passage and an item are candidates if the passage holds enough of the
-   item's words, each as often as the item has it at most, for the check below
-   to pass. The count bounds the common subsequence, so no leak is lost here.
-3. A candidate is a leak if the longest common subsequence of words holds most
-   of the item, or much of it and half of its answer, its last third.
-4. Document frequencies over all passages give the weights of a TF-IDF matrix
+   a quarter of their size apart, in sizes that grow by half, so an item lies
+   whole in a window of about twice its length at most (or of WINDOW words).
+2. Document frequencies over all passages give the weights of a TF-IDF matrix
    of passages and vocabulary; a distributed randomised SVD (subspace
-   iteration with random start, each pass a sum over all passages) gives the
-   latent space. A leak's cosine there is reported; it decides nothing.
+   iteration with random start, each pass a sum over all passages in a tree)
+   gives the latent space.
+3. A passage and an item are candidates if their cosine reaches a threshold,
+   in the latent space or in what is left of it without its leading
+   directions. No
+   pair is looked at that can't pass the check below because the passage holds
+   too few of the item's words, each as often as the item has it at most.
+4. A candidate is a leak if the longest common subsequence of words holds most
+   of the item, or much of it and half of its answer, its last third.
 
 Null and empty texts match nothing, nor do items without words. Whole texts
-are searched, however long. Equal rows give equal rows. Empty tables give an
-empty result; other columns are not read. Items are taken in blocks of
-ITEM_BLOCK, so what is broadcast is bounded.
+are searched, however long. Equal rows give equal rows; of passages that hold
+an item the one of the largest share, then of the largest share of the answer,
+then of the largest cosine counts. Empty tables give an
+empty result; other columns are not read. The benchmark's vocabulary and
+latent vectors are broadcast: some 300 bytes a distinct word and 4 a word. So
+many as ITEM_BLOCK items share one space; larger benchmarks are taken in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, prefix_sums, range_hashes, saved, steps
+from vicinity.llm.text import _LOWER, BASE, Scratch, flat, letter_runs, prefix_sums, range_hashes, shipped, steps
 
-#: Items of one search; each block of so many has its own vocabulary and space.
-ITEM_BLOCK = 20_000
+#: Items of one space; each block of so many has its own vocabulary and space.
+ITEM_BLOCK = 500_000
 #: Latent dimensions, and random ones beyond them in the range finder.
 RANK, OVER = 64, 8
-#: Leading dimensions left out: they tell languages and common words, which any two passages share.
+#: Leading dimensions that the second cosine leaves out: they tell languages and common words, which any two passages share.
 COMMON = 16
-#: An item with more of its energy than this in them (one that leaks very often) is compared in all dimensions.
-MOSTLY_COMMON = 0.9
+#: The least cosine of a candidate.
+COSINE = 0.3
 #: Shares of an item's words in order of a verbatim leak and of a paraphrase; share of its answer.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.5
 #: The smallest window, in words.
 WINDOW = 24
 STEP_WORDS = 1 << 16
-#: Items counted together, and candidates whose words are counted together.
-ITEM_GROUP, CANDIDATES = 512, 1 << 13
+#: Items counted together, such groups that a worker keeps ready, and candidates whose words are counted together.
+ITEM_GROUP, READY, CANDIDATES = 512, 16, 1 << 13
+#: Matrices that one task of the sum's tree adds.
+FAN = 8
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,22 +125,28 @@ def _batches(batches, keys: int):
 
 
 def _sum_matrices(enc: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over all partitions of a matrix of the vocabulary's size, by a tree of two levels."""
+    """The sum over all partitions of a matrix of the vocabulary's size, by a tree that leaves FAN matrices at most."""
 
     def part(batches):
         out = np.zeros(shape)
         for _, ids, first in _batches(batches, 0):
             out += fn(ids, first)
-        from pyspark import TaskContext
-
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 16], pa.int32()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["g", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["g", "m"])
 
-    def add(t):
-        out = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t.column("m"))
-        return pa.table({"m": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+    def add(key, t):
+        out = np.zeros(shape[0] * shape[1])
+        for x in t.column("m"):
+            out += np.frombuffer(x.as_buffer(), np.float32)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "m": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
-    rows = enc.select("words").mapInArrow(part, "g int, m binary").groupBy("g").applyInArrow(add, "m binary").collect()
-    return sum((np.frombuffer(r["m"], np.float32).astype(float) for r in rows), np.zeros(shape[0] * shape[1])).reshape(shape)
+    rows, n = enc.select("words").mapInArrow(part, "g int, m binary"), enc.rdd.getNumPartitions()
+    while n > FAN:
+        n = -(-n // FAN)
+        rows = rows.select((F.col("g") % n).alias("g"), "m").groupBy("g").applyInArrow(add, "g int, m binary")
+    out = np.zeros(shape[0] * shape[1])
+    for r in rows.toLocalIterator():
+        out += np.frombuffer(r["m"], np.float32)
+    return out.reshape(shape)
 
 
 def _statistics_windows(ids: np.ndarray, first: np.ndarray):
@@ -190,40 +204,55 @@ def fit_space(enc: DataFrame, space: Space, rank: int = RANK, power: int = 1, se
 class Search:
     """Candidate search and checks of encoded documents."""
 
-    def __init__(self, space: Space) -> None:
-        self.common = space.common
+    def __init__(self, space: Space, cosine: float) -> None:
+        self.common, self.cosine = space.common, cosine
         f = (space.idf[:, None] * space.basis).astype(np.float32)
         self.features = np.vstack([f, np.zeros((1, f.shape[1]), np.float32)])  # -1 is the last row
-        self.items = []
+        self.items = [(i, np.array(w, np.int32)) for i, w in space.items]
         by: dict[int, list[int]] = {}
-        for item_id, w in space.items:
-            masks: dict[int, int] = {}
-            for i, x in enumerate(w):
-                masks[x] = masks.get(x, 0) | 1 << i
-            by.setdefault(space.scale(len(w)), []).append(len(self.items))
-            self.items.append((item_id, masks, len(w)))
-        #: size, items, how often each has each word (the last: none), the least words of a leak, latent vectors, whole
-        self.groups = []
-        for size, every in by.items():
-            for g in range(0, len(every), ITEM_GROUP):
-                k = every[g : g + ITEM_GROUP]
-                times = np.zeros((len(self.features), len(k)), np.uint8 if size < 256 else np.int32)
-                for c, i in enumerate(k):
-                    for w, mask in self.items[i][1].items():
-                        times[w, c] = mask.bit_count()
-                least = np.array([-int(-(self.items[i][2] * PARAPHRASE - 1e-9) // 1) for i in k])
-                v = np.stack([self.features[space.items[i][1]].sum(0) for i in k])
-                whole = (v[:, : self.common] ** 2).sum(1) > MOSTLY_COMMON * (v**2).sum(1)
-                v[~whole, : self.common] = 0
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                self.groups.append((size, np.array(k), times, least, v, whole))
+        for k, (_, w) in enumerate(self.items):
+            by.setdefault(space.scale(len(w)), []).append(k)
+        self.groups = [(size, every[g : g + ITEM_GROUP]) for size, every in by.items() for g in range(0, len(every), ITEM_GROUP)]
+        self.ready: dict = {}
+
+    def group(self, number: int) -> tuple:
+        """Words' places in the group's own vocabulary, how often each item has each, masks of their places in it, the least words of a leak, unit vectors without and with the leading dimensions."""
+        if number not in self.ready:
+            while len(self.ready) >= READY:
+                del self.ready[next(iter(self.ready))]
+            size, items = self.groups[number]
+            held = [self.items[k][1] for k in items]
+            own = np.unique(np.concatenate(held))
+            place = np.full(len(self.features), len(own), np.int32)  # the last: of no item here
+            place[own] = np.arange(len(own))
+            times = np.zeros((len(own) + 1, len(items)), np.uint8 if size < 256 else np.int32)
+            masks: list[dict[int, int]] = []
+            for c, w in enumerate(held):
+                np.add.at(times[:, c], place[w], 1)
+                masks.append({})
+                for i, x in enumerate(w.tolist()):
+                    masks[-1][x] = masks[-1].get(x, 0) | 1 << i
+            least = np.array([-int(-(len(w) * PARAPHRASE - 1e-9) // 1) for w in held])
+            whole = np.stack([self.features[w].sum(0) for w in held])
+            rest = whole[:, self.common :]
+            unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            self.ready[number] = place, times, masks, least, unit(rest), unit(whole)
+        return self.ready[number]
+
+    def cosines(self, passages: np.ndarray, items: np.ndarray, rest: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The larger cosine of each passage (rows of words, -1 for none) and item."""
+        x = self.features[passages].sum(1)
+        norm = lambda v: np.maximum(np.linalg.norm(v, axis=1), 1e-6)
+        less = x[:, self.common :]
+        return np.maximum((less * rest[items]).sum(1) / norm(less), (x * whole[items]).sum(1) / norm(x))
 
     def leaks(self, ids: np.ndarray, first: np.ndarray):
         """text, item, cosine, share in order and share of the answer of the best passage of each leak."""
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         hits = np.concatenate([[0], np.cumsum(ids >= 0)])
         n = np.diff(first)
-        for size, k, times, least, vectors, whole in self.groups:
+        for number, (size, items) in enumerate(self.groups):
+            place, times, masks, least, rest, whole = self.group(number)
             # a window is four blocks of a quarter of its size, fewer at a text's end
             step = size // 4
             lo, hi, text = windows(first, size)
@@ -232,10 +261,10 @@ class Search:
             if not len(lo):
                 continue
             base = np.concatenate([[0], np.cumsum(-(-n // step))])
-            words_at = np.full(base[-1] * step, -1, np.int32)
-            words_at[np.arange(len(ids)) + np.repeat(base[:-1] * step - first[:-1], n)] = ids
+            words_at = np.full(base[-1] * step, len(times) - 1, np.int32)
+            words_at[np.arange(len(ids)) + np.repeat(base[:-1] * step - first[:-1], n)] = place[ids]
             member = (times > 0).view(np.uint8)
-            held = np.zeros((base[-1], len(k)), times.dtype)
+            held = np.zeros((base[-1], len(items)), times.dtype)
             for column in words_at.reshape(-1, step).T:
                 held += member[column]
             block = base[text] + (lo - first[text]) // step
@@ -247,64 +276,72 @@ class Search:
             for x0 in range(0, len(p), CANDIDATES):
                 pc, qc = p[x0 : x0 + CANDIDATES], q[x0 : x0 + CANDIDATES]
                 at = lo[pc][:, None] + np.arange(size)
-                w = np.sort(np.where(at < hi[pc][:, None], ids[np.minimum(at, len(ids) - 1)], -1), axis=1)
+                words_of = np.where(at < hi[pc][:, None], ids[np.minimum(at, len(ids) - 1)], -1)
+                w = np.sort(words_of, axis=1)
                 start = np.where(np.diff(w, axis=1, prepend=-2) != 0, np.arange(size), 0)
                 nth = np.arange(size) - np.maximum.accumulate(start, axis=1)  # of its word in the window
-                ok = (nth < times[w, qc[:, None]]).sum(1) >= least[qc]
-                for i, j in zip(pc[ok].tolist(), qc[ok].tolist(), strict=True):
-                    _, masks, m = self.items[k[j]]
-                    passage = ids[lo[i] : hi[i]]
-                    got = common_subsequence(masks, m, [w for w in passage.tolist() if w in masks])
+                ok = np.flatnonzero((nth < times[place[w], qc[:, None]]).sum(1) >= least[qc])
+                if not len(ok):
+                    continue
+                cosine = self.cosines(words_of[ok], qc[ok], rest, whole)
+                near = cosine >= self.cosine
+                for i, j, c in zip(pc[ok[near]].tolist(), qc[ok[near]].tolist(), cosine[near].tolist(), strict=True):
+                    m = len(self.items[items[j]][1])
+                    got = common_subsequence(masks[j], m, [x for x in ids[lo[i] : hi[i]].tolist() if x in masks[j]])
                     share = got.bit_count() / m
                     third = m - m // 3 if m >= 3 else 0
                     answer = (got >> third).bit_count() / (m - third)
                     if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
-                        x = self.features[passage].sum(0)
-                        norm = max(float(np.linalg.norm(x if whole[j] else x[self.common :])), 1e-6)
-                        key = (int(text[i]), int(k[j]))
-                        best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, answer, float(x @ vectors[j]) / norm))
+                        key = (int(text[i]), items[j])
+                        best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, answer, c))
         return [(t, self.items[k][0], c, s, a) for (t, k), (s, a, c) in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, item_id, cosine, lcs_share, answer_share of every document and item it leaks."""
-    spark = docs.sparkSession
-    items = saved(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null"), "decontam-items")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    kinds = dict(docs.dtypes)
-    item_type = dict(benchmark.dtypes)["item_id"]
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    out = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = part.orderBy("item_id", "text").collect()  # about ITEM_BLOCK items
-        space = Space([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if not space.items:
-            continue
-        sent = spark.sparkContext.broadcast((space.vocab, space.sieve))
-
-        def encode(batches, sent=sent):
-            for b in batches:
-                data, offs = flat(b.column(len(keys)))
-                for i, j in steps(offs):
-                    h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                    raw = lookup(*sent.value, h).tobytes()
-                    at = (4 * first).tolist()
-                    yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in range(len(keys))] + [pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=[*keys, "words"])
-
-        enc = saved(docs.select(*keys, F.col("text").cast("string")).mapInArrow(encode, f"{head}, words binary"), "decontam-words")
-        fit_space(enc, space)
-        search = spark.sparkContext.broadcast(Search(space))
-
-        def look(batches, search=search):
-            for cols, ids, first in _batches(batches, len(keys)):
-                found = search.value.leaks(ids, first)
-                if found:
-                    at = pa.array([x[0] for x in found])
-                    yield pa.RecordBatch.from_arrays([c.take(at) for c in cols] + [pa.array(v) for v in list(zip(*found, strict=True))[1:]], names=[*keys, "item_id", "cosine", "lcs_share", "answer_share"])
-
-        hits = enc.mapInArrow(look, f"{head}, item_id {item_type}, cosine double, lcs_share double, answer_share double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return docs.select(*keys).limit(0).withColumns({"item_id": F.lit(None).cast(item_type), "cosine": F.lit(0.0), "lcs_share": F.lit(0.0), "answer_share": F.lit(0.0)})
-    return out
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), cosine: float = -1.0) -> DataFrame:
+    """keys, item_id, cosine, lcs_share, answer_share of every document and item it leaks.
+
+    cosine is the least of a candidate. With COSINE the latent space retrieves the candidates; with -1 every pair that holds enough
+    words is one, also such as share only words that all texts have.
+    """
+    with Scratch(docs.sparkSession, "decontam") as scratch:
+        spark = docs.sparkSession
+        items = scratch.save(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null"), "items")
+        blocks = max(1, -(-items.count() // ITEM_BLOCK))
+        kinds = dict(docs.dtypes)
+        item_type = dict(benchmark.dtypes)["item_id"]
+        head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+        out = None
+        for block in range(blocks):
+            part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+            rows = part.orderBy("item_id", "text").collect()  # about ITEM_BLOCK items
+            space = Space([r["item_id"] for r in rows], [r["text"] for r in rows])
+            if not space.items:
+                continue
+            sent = spark.sparkContext.broadcast((space.vocab, space.sieve))
+
+            def encode(batches, sent=sent):
+                for b in batches:
+                    data, offs = flat(b.column(len(keys)))
+                    for i, j in steps(offs):
+                        h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                        raw = lookup(*sent.value, h).tobytes()
+                        at = (4 * first).tolist()
+                        yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in range(len(keys))] + [pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=[*keys, "words"])
+
+            enc = scratch.save(docs.select(*keys, F.col("text").cast("string")).mapInArrow(encode, f"{head}, words binary"), "words")
+            fit_space(enc, space)
+            search = shipped(spark, Search(space, cosine))
+
+            def look(batches, search=search):
+                for cols, ids, first in _batches(batches, len(keys)):
+                    found = search().leaks(ids, first)
+                    if found:
+                        at = pa.array([x[0] for x in found])
+                        yield pa.RecordBatch.from_arrays([c.take(at) for c in cols] + [pa.array(v) for v in list(zip(*found, strict=True))[1:]], names=[*keys, "item_id", "cosine", "lcs_share", "answer_share"])
+
+            hits = scratch.save(enc.mapInArrow(look, f"{head}, item_id {item_type}, cosine double, lcs_share double, answer_share double"), "leaks", keep=True)
+            scratch.drop(enc)
+            out = hits if out is None else out.unionByName(hits)
+        if out is None:
+            return docs.select(*keys).limit(0).withColumns({"item_id": F.lit(None).cast(item_type), "cosine": F.lit(0.0), "lcs_share": F.lit(0.0), "answer_share": F.lit(0.0)})
+        return out

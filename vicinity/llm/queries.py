@@ -63,7 +63,7 @@ FROM windows WHERE matched >= 0.8 * n GROUP BY doc_id, text, template, n"""
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or as a paraphrase, and the item."""
-    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), cosine=decontam.COSINE)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import pickle
 import re
 import sys
 import threading
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
@@ -32,6 +34,21 @@ def worker_store() -> dict:
     return mod.__dict__.setdefault("store", {})
 
 
+def shipped(spark: SparkSession, thing):
+    """A function that gives thing on executors, once a worker; its classes travel by value, as the subpackage's functions do."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), uuid.uuid4().hex
+
+    def get():
+        held = worker_store().setdefault("shipped", {})
+        if key not in held:
+            while len(held) >= 4:
+                del held[next(iter(held))]
+            held[key] = pickle.loads(sent.value)
+        return held[key]
+
+    return get
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir, which all executors share. Only a local master may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
