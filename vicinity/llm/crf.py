@@ -8,15 +8,26 @@ import numpy as np
 
 
 def chain_marginals(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: int = 32) -> np.ndarray:
-    """P(state 1) of every token, from forward-backward over each text's tokens.
+    """P(state 1) of every token, from forward-backward over each text's tokens. u: log potentials of state 1 against state 0."""
+    return _forward_backward(u, first, trans, seg, False)[0]
+
+
+def chain_expectations(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """chain_marginals, and the expected number of each pair of neighbouring states."""
+    return _forward_backward(u, first, trans, seg, True)
+
+
+def _forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: int, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected pairs.
 
     u: log potentials of state 1 against state 0. All texts form one chain in
     which a text's first step forgets the state before it. Segments of it are
     multiplied side by side, so each step is one operation over all segments.
     """
     n = len(u)
+    both = np.zeros((2, 2))
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), both
     pad = -n % seg
     s = (n + pad) // seg
     one = np.exp(np.clip(np.concatenate([u, np.zeros(pad)]), -30, 30)).reshape(s, seg)
@@ -58,9 +69,14 @@ def chain_marginals(u: np.ndarray, first: np.ndarray, trans: np.ndarray, seg: in
     for k in range(seg - 1, -1, -1):
         x = alpha[k] * b
         out[k] = x[:, 1] / x.sum(1)
+        if pairs:
+            f = alpha[k - 1] if k else fore
+            joint = f[:, :, None] * m[k] * b[:, None, :]
+            inner = ~begins[:, k]
+            both += (joint[inner] / joint[inner].sum((1, 2), keepdims=True)).sum(0)
         b = np.stack([m[k, :, 0, 0] * b[:, 0] + m[k, :, 0, 1] * b[:, 1], m[k, :, 1, 0] * b[:, 0] + m[k, :, 1, 1] * b[:, 1]], 1)
         b /= b.sum(1, keepdims=True)
-    return out.T.reshape(-1)[:n]
+    return out.T.reshape(-1)[:n], both
 
 
 def best_path(u: list[float], trans: np.ndarray) -> list[int]:
@@ -96,10 +112,8 @@ def fit_chain(features: list[list[int]], labels: np.ndarray, first: np.ndarray,
     m = [np.zeros(size), np.zeros((2, 2))]
     v = [np.zeros(size), np.zeros((2, 2))]
     for it in range(1, rounds + 1):
-        p = chain_marginals(np.bincount(at, w[k], minlength=n), first, trans)
+        p, both = chain_expectations(np.bincount(at, w[k], minlength=n), first, trans)
         g_w = np.bincount(k, (z - p)[at], minlength=size) / n - ridge / 100 * w
-        a, b = p[inner - 1], p[inner]
-        both = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
         for i, g in enumerate((g_w, (gold - both) / n - ridge / 10 * trans)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g

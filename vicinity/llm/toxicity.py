@@ -4,7 +4,9 @@ Token labels come from the labelled documents of a bounded sample: words and
 word beginnings that only toxic documents hold are picked greedily until they
 cover those documents twice, and their occurrences in toxic documents are the
 toxic tokens. The field (two states, those features, their neighbours,
-transitions) is trained on them by gradient ascent; forward-backward marginals
+transitions) is trained by gradient ascent on the likelihood of windows of the
+sample's texts, those about picked features and some others, so many of each at
+most; forward-backward marginals
 of every token of a text add up to its score through a logistic curve fitted
 on the same sample, and tokens likelier toxic than not are its spans.
 
@@ -20,11 +22,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.crf import chain_marginals
-from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, steps
+from vicinity.llm.crf import chain_expectations, chain_marginals
+from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, row_of, shipped, steps
 
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
 PREFIXES = (0, 3, 4, 5, 6, 7)
@@ -32,6 +35,9 @@ PREFIXES = (0, 3, 4, 5, 6, 7)
 SAMPLE_DOCS = 1500
 #: Features picked at most.
 FEATURES = 400
+#: The field is trained on so many windows of WINDOW tokens that hold a picked feature, and so many that don't, at most, drawn at random.
+WINDOW = 16
+WINDOWS_WITH, WINDOWS_WITHOUT = 25_000, 6_000
 
 
 def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
@@ -171,18 +177,21 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     model.keys = np.sort(key[chosen])
     model.sieve[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     model.weight = np.zeros(len(model.keys))
-    # token labels, and windows about picked features with as many others
+    # token labels, and the windows to train on
     picked = model.pick(token_features(data, lo, hi))
     has = np.zeros(len(lo), bool)
     for at, _ in picked:
         has[at] = True
     labels = has & (y[text] == 1)
-    wide = np.convolve(has, np.ones(17), "same") > 0.5
+    place = np.arange(len(lo)) - first[text]
+    window = np.cumsum((place % WINDOW == 0).astype(np.int64)) - 1  # windows don't cross texts
+    with_some = np.zeros(window[-1] + 1 if len(window) else 0, bool)
+    with_some[window[has]] = True
     rng = np.random.default_rng(7)
-    wide[np.flatnonzero(~wide)[rng.permutation(int((~wide).sum()))[:100_000]]] = True
-    keep = np.flatnonzero(wide)
-    if len(keep) > 400_000:
-        keep = np.sort(rng.permutation(keep)[:400_000])
+    use = np.zeros(len(with_some), bool)
+    for kind, most in ((with_some, WINDOWS_WITH), (~with_some, WINDOWS_WITHOUT)):
+        use[rng.permutation(np.flatnonzero(kind))[:most]] = True
+    keep = np.flatnonzero(use[window])
     # a sequence ends where a gap or a text ends
     cut = np.flatnonzero((np.diff(keep) != 1) | (np.diff(text[keep]) != 0)) + 1
     seq = np.concatenate([[0], cut, [len(keep)]])
@@ -197,15 +206,13 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     np.add.at(gold, (z[inner - 1].astype(int), z[inner].astype(int)), 1)
     moment: dict = {}
     _, near = model.design(len(keep), seq, sub)
-    for it in range(1, 61):  # Adam on the log likelihood; pair marginals from those of the two tokens
+    for it in range(1, 61):  # Adam on the penalised log likelihood
         u, _ = model.design(len(keep), seq, sub)
-        p = chain_marginals(u + model.bias + model.near * near, seq, model.trans)
+        p, both = chain_expectations(u + model.bias + model.near * near, seq, model.trans)
         r = z - p
         g_w = np.zeros(len(model.keys))
         for at, k in sub:
             np.add.at(g_w, k, r[at])
-        a, b = p[inner - 1], p[inner]
-        both = np.stack([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
         for name, g in (("weight", g_w - 0.01 * model.weight), ("bias", np.float64(r.sum())), ("near", np.float64((r * near).sum() - 0.01 * model.near)), ("trans", gold - both - 0.5 * model.trans)):
             m, v = moment.get(name, (0.0, 0.0))
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -247,11 +254,11 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted and spans (code points from and to) of every text; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred features
+    sent = shipped(docs.sparkSession, model)  # a few hundred features
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, spans array<struct<from:int,to:int>>"
 
     def work(batches):
-        m = sent.value
+        m = sent()
         for batch in batches:
             data, offs = flat(batch.column(1))
             score, spans = np.zeros(len(offs) - 1), [[] for _ in range(len(offs) - 1)]
@@ -275,18 +282,19 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose texts score below the threshold; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, whatever their columns, whose texts score below the threshold; no shuffle."""
+    sent = shipped(docs.sparkSession, model)
+    rows = docs.select(row_of(docs).alias("row"))
     at = docs.columns.index("text")
 
     def work(batches):
-        m = sent.value
+        m = sent()
         for batch in batches:
-            data, offs = flat(batch.column(at))
+            data, offs = flat(pc.struct_field(batch.column(0), [at]))
             keep = np.ones(len(offs) - 1, bool)
             for i, j in steps(offs):
                 _, _, first, p = m.marginals(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 keep[i:j] = m.scores(first, p) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return rows.mapInArrow(work, rows.schema).select(*[F.col("row")[c].alias(c) for c in docs.columns])
