@@ -17,6 +17,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,12 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.crf import best_path, fit_chain
 
-TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<""")
+#: A quoted value holds no "<", or so few characters that a missing quote doesn't cost the rest of the page.
+TOKEN = re.compile(
+    r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"(?:[^"<]*+"|[^"]{0,1024}+")|'(?:[^'<]*+'|[^']{0,1024}+'))*+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<"""
+)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Elements that start and end blocks; those without content; those whose content is never text of the page.
@@ -35,6 +42,9 @@ SKIPPED = frozenset("script style template iframe canvas select textarea button
 #: Elements set apart from the words around them, whose text (formulas, labels, fallbacks) is inline text of its block.
 APART = frozenset("math svg object audio video noscript".split())
 RAW = frozenset("script style textarea title iframe".split())
+#: Tags whose presence above a block is a feature, and those that aren't the article's own text within one.
+LANDMARKS = frozenset("article main nav header footer aside form section figure table ul ol li blockquote dialog address p h1 h2 h3 h4 h5 h6 pre td details".split())
+ASIDES = frozenset("nav aside footer form header".split())
 #: Elements that a new one of the first kind ends, up to the given border.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 #: Words of classes, ids and roles, by what they tell.
@@ -59,27 +69,51 @@ def _names(attrs: str) -> frozenset[str]:
     out = set()
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "none" in value:
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
             out.add("hidden")
         elif key in ("class", "id", "role"):
             out.update(HINT[w] for w in NAME.findall(value) if w in HINT)
     return frozenset(out)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset[str]]], int]]:
-    """Text, open elements (tag and what its attributes tell) and characters within links of each leaf block."""
+class Element(NamedTuple):
+    """An open element and what all open elements together tell, so that a block's features don't walk the tree."""
+
+    tag: str
+    names: frozenset[str]
+    above: Element | None
+    tags: frozenset[str]  # landmarks, itself included
+    hints: frozenset[str]
+    inner: bool  # within an article, and within one of ASIDES there
+
+    @classmethod
+    def open(cls, tag: str, names: frozenset[str], above: Element | None) -> Element:
+        tags, hints, inner = (above.tags, above.hints, above.inner) if above else (frozenset(), frozenset(), False)
+        inner = tag != "article" and (inner or tag in ASIDES and "article" in tags)
+        return cls(tag, names, above, tags if tag in tags or tag not in LANDMARKS else tags | {tag}, hints if names <= hints else hints | names, inner)
+
+
+def leaf_blocks(page: str) -> list[tuple[str, Element | None, int]]:
+    """Text, innermost open element and characters within links of each leaf block."""
     out: list = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = links = 0
 
+    def leave(k: int) -> None:
+        """Closes the elements from the kth on."""
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     def close() -> None:
         nonlocal linked
         if text:
             whole = "".join(text)
             whole = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if whole:
-                out.append((whole, list(stack), linked))
+                out.append((whole, stack[-1] if stack else None, linked))
             text.clear()
         linked = 0
 
@@ -123,52 +157,44 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, frozenset[str]]],
             continue
         close()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             links = 0
             continue
         if tag in EMPTY:
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in ENDS:
+        if stack and stack[-1].tag == "p":
+            leave(len(stack) - 1)
+        if tag in ENDS and any(opened[x] for x in ENDS[tag][0]):
             kinds, border = ENDS[tag]
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in border:
+                if stack[k].tag in border:
                     break
-                if stack[k][0] in kinds:
-                    del stack[k:]
+                if stack[k].tag in kinds:
+                    leave(k)
                     break
-        stack.append((tag, _names(attrs)))
+        stack.append(Element.open(tag, _names(attrs), stack[-1] if stack else None))
+        opened[tag] += 1
     close()
     return out
 
 
-#: Tags whose presence above a block is a feature.
-LANDMARKS = frozenset("article main nav header footer aside form section figure table ul ol li blockquote dialog address p h1 h2 h3 h4 h5 h6 pre td details".split())
-
-
 def block_features(block) -> list[str]:
-    text, stack, linked = block
+    text, top, linked = block
     n = len(text)
-    tags = {t for t, _ in stack}
-    hints = set().union(*[h for _, h in stack]) if stack else set()
-    own = stack[-1][0] if stack else "none"
-    near = set().union(*[h for _, h in stack[-2:]]) if stack else set()
+    tags, hints = (top.tags, top.hints) if top else (frozenset(), frozenset())
+    own = top.tag if top else "none"
+    near = (top.names | top.above.names if top.above else top.names) if top else frozenset()
     stops = text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?…:;\"”»'")
     link = min(4, int(4 * linked / n)) if n else 0
     size = min(10, n.bit_length())
     inside = "in" if tags & {"article", "main"} or "content" in hints else "out"
     out = ["bias", f"own={own}", f"size={size}", f"link={link}", f"stops={min(3, stops)}", f"inside={inside}", f"{inside}&own={own}", f"link={link}&size={size // 2}", f"{inside}&stops={min(2, stops)}"]
-    out += [f"above={t}" for t in tags & LANDMARKS]
+    out += [f"above={t}" for t in tags]
     out += [f"hint={h}" for h in hints]
     out += [f"near={h}" for h in near]
-    if "article" in tags:
-        k = max(i for i, (t, _) in enumerate(stack) if t == "article")
-        if any(t in ("nav", "aside", "footer", "form", "header") for t, _ in stack[k:]):
-            out.append("article&inner")
+    if top and top.inner:
+        out.append("article&inner")
     if "©" in text[:40] or "copyright" in text[:60].lower():
         out.append("copyright")
     if not hints and not tags & {"article", "main", "nav", "header", "footer", "aside", "form"}:
