@@ -9,8 +9,9 @@ link by place: a user turn is a call whose identifier is its number, and the
 assistant turn that follows it by number is its result.
 
 * Calls and results are hash-joined on conversation and identifier. Of calls
-  (results) of one identifier the first by turn and place counts; others are
-  duplicates and stay unlinked.
+  of one identifier the first by turn and place counts, of results the first
+  that doesn't come before its call's turn; others are duplicates, or results of
+  nothing, and stay unlinked.
 * Calls are ordered topologically: a call whose arguments hold "$ref:ID" comes
   after the call of that identifier. Levels are found round by round; calls in
   a cycle, or behind one, get the level -1.
@@ -23,7 +24,7 @@ assistant turn that follows it by number is its result.
 
 A null text is empty, a null role "unknown". Malformed JSON is a call without
 identifier and unlinked. Repeated rows link as duplicates. Rows with a null
-conversation never link. Messages stay rows of their own, so a conversation of
+conversation never link, results with a null turn neither. Messages stay rows of their own, so a conversation of
 any length is never gathered in one task. An empty table gives an empty
 result; other columns are not read.
 """
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import saved
+from vicinity.llm.text import Scratch
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
@@ -75,22 +76,29 @@ def order_levels(calls: DataFrame) -> DataFrame:
     """conv_id, id, level: 0 for calls without references to known calls, else one more than the largest they refer to; -1 in or behind cycles."""
     known = calls.select("conv_id", "id").distinct()
     edges = calls.select("conv_id", "id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("ref"))
-    edges = saved(edges.join(known.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left_semi"), "chat-edges")
-    if edges.isEmpty():
-        return known.withColumn("level", F.lit(0))
-    open_calls = edges.select("conv_id", "id").distinct()
-    done = saved(known.join(open_calls, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "chat-level")
-    level = 0
-    while True:
-        level += 1
-        left = edges.join(done.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
-        ready = left.join(done.select("conv_id", F.col("id").alias("ref"), F.lit(True).alias("met")), ["conv_id", "ref"], "left")
-        ready = ready.groupBy("conv_id", "id").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("all")).where("all").select("conv_id", "id", F.lit(level).alias("level"))
-        ready = saved(ready, "chat-ready")
-        if ready.isEmpty():
-            break
-        done = saved(done.unionByName(ready), "chat-level")
-    return known.join(done, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+    with Scratch(calls.sparkSession, "chat") as scratch:
+        edges = scratch.save(edges.join(known.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left_semi"), "edges")
+        if edges.isEmpty():
+            return known.withColumn("level", F.lit(0))
+        waiting = scratch.save(edges.select("conv_id", "id").distinct(), "waiting")
+        ready, later, level = known.join(waiting, ["conv_id", "id"], "left_anti"), [], 0
+        while True:  # only what still waits, and the calls of the last level, are read and written
+            level += 1
+            left = scratch.save(edges.join(ready.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_anti"), "edges")
+            now = waiting.join(left.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
+            ready = scratch.save(now.withColumn("level", F.lit(level)), "level", keep=True)
+            if ready.isEmpty():
+                break
+            later.append(ready)
+            scratch.drop(edges)
+            edges, before = left, waiting
+            waiting = scratch.save(waiting.join(ready, ["conv_id", "id"], "left_anti"), "waiting")
+            scratch.drop(before)
+        waiting = scratch.save(waiting.withColumn("level", F.lit(-1)), "cycles", keep=True)
+        late = waiting
+        for part in later:
+            late = late.unionByName(part)
+        return known.join(late, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 #: A tool's schema: name, and parameters as rows of (parameter, type, required).
@@ -116,7 +124,8 @@ def link_calls(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, id, name, arguments (canonical), call_turn, place, level, validity, result_turn, content of each call that has an identifier."""
     msgs = messages(turns)
     calls = first_of(tool_parts(msgs, CALL, "arguments"))
-    results = first_of(tool_parts(msgs, RESULT, "content")).select("conv_id", "id", F.col("turn").alias("result_turn"), "content")
+    results = tool_parts(msgs, RESULT, "content").join(calls.select("conv_id", "id", F.col("turn").alias("asked")), ["conv_id", "id"]).where("turn >= asked").drop("asked")
+    results = first_of(results).select("conv_id", "id", F.col("turn").alias("result_turn"), "content")
     levels = order_levels(calls)
     linked = validate(calls, schemas).join(levels, ["conv_id", "id"], "left").join(results.hint("shuffle_hash"), ["conv_id", "id"], "left")
     return linked.select("conv_id", "id", "name", canonical_arguments(F.col("arguments")).alias("arguments"), F.col("turn").alias("call_turn"), "place", "level", "validity", "result_turn", "content")
