@@ -12,7 +12,8 @@ Templates of fewer than five words are one shingle of their own length, looked
 up in the texts' shingles of that length without bands.
 
 Null and empty texts match nothing. Whole texts are scanned, however long, in
-the row's own task; only the templates, a checked small table, are broadcast.
+the row's own task; only the templates are broadcast, in scans of MOST_SHINGLES
+at most, so a larger table of templates takes several.
 Equal rows give one row a template. Empty tables give an empty result; other
 columns are not read.
 """
@@ -91,21 +92,33 @@ def scan_short(docs: DataFrame, short: DataFrame, n: int) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template, n_shingles, matched (shingles in the best window), containment, n_windows that reach it, first_shingle."""
-    short = templates.select("template", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w").between(1, SHINGLE - 1)).cache()
-    counts = {r["n"]: r["count"] for r in short.groupBy(F.size("w").alias("n")).count().collect()}
-    if counts:
-        if sum(counts.values()) > MOST_SHINGLES:
-            raise ValueError(f"{sum(counts.values())} short templates; split them into scans of {MOST_SHINGLES} at most")
-        out = scan_licenses(docs, templates.where(F.size(words(F.col("text"))) >= SHINGLE), containment)
-        for n in sorted(counts):
-            out = out.unionByName(scan_short(docs, short, n))
+    own = templates.select("template", F.col("text").cast("string").alias("text"))
+    size = own.agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0
+    if size > MOST_SHINGLES and own.count() > 1:
+        parts, out = -(-2 * size // MOST_SHINGLES), None
+        number = F.pmod(F.xxhash64("template", "text"), F.lit(parts))
+        for i in [r["i"] for r in own.select(number.alias("i")).distinct().orderBy("i").collect()]:
+            part = _scan(docs, own.where(number == i), containment)
+            out = part if out is None else out.unionByName(part)
         return out
-    t = template_table(templates).cache()
+    return _scan(docs, own, containment)
+
+
+def _scan(docs: DataFrame, templates: DataFrame, containment: float) -> DataFrame:
+    """scan_licenses of a table of templates that may be broadcast."""
+    short = templates.select("template", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w").between(1, SHINGLE - 1))
+    out = _scan_long(docs, templates, containment)
+    for n in sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect()):
+        out = out.unionByName(scan_short(docs, short, n))
+    return out
+
+
+def _scan_long(docs: DataFrame, templates: DataFrame, containment: float) -> DataFrame:
+    """_scan of the templates of at least SHINGLE words."""
+    t = template_table(templates)
     sizes = t.agg(F.sum(F.size("h")), F.array_sort(F.collect_set("window")), F.array_distinct(F.flatten(F.collect_list("h")))).first()
     if not sizes[0]:
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "'' template", "0 n_shingles", "0 matched", "0D containment", "0L n_windows", "0 first_shingle")
-    if sizes[0] > MOST_SHINGLES:
-        raise ValueError(f"templates of {sizes[0]} shingles; split them into scans of {MOST_SHINGLES} at most")
     some = F.array(*[F.lit(x) for x in sizes[2]])
     # each generator is a border that keeps the arrays before it from being computed again in what follows
     rows = docs.select("doc_id", F.xxhash64("text").alias("same"), F.explode(F.array(words(F.col("text")))).alias("w"))
