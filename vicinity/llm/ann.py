@@ -1,19 +1,27 @@
-"""Exact nearest neighbours: bounds from a forest of random-projection trees, then a scan of all vectors within them.
+"""Nearest neighbours by a forest of random-projection trees with one priority queue, and exact reranking.
 
 Every tree splits a bounded sample at medians of random projections, each
 the direction between two sampled points, so its shape doesn't grow with the
 table. All vectors are filed under one leaf a tree. A query descends all trees
 with one priority queue over their branches, nearest splitting planes first,
-until the leaves it has taken hold enough vectors; these are ranked by exact
-distance in double precision. The kth of them bounds the true kth distance, and
-a scan compares every vector with blocks of queries and keeps what lies within
-their bounds, so no neighbour is lost whatever the forest has seen; its time
-grows with the product of queries and vectors. Equal vectors are indexed once,
-with the smallest ids a result can show, so a hot vector is one entry.
-
-Vectors null, of another length than most, zero, or holding null or non-finite
-components take no part: neither as query nor as candidate. Ties go to smaller
-ids; repeated rows with one id count once. With fewer other vectors than k all
+until the leaves it has taken hold as many vectors as its budget; these are
+ranked by exact distance in double precision.
+
+The budget comes from the table: of CALIBRATE queries the true neighbours are
+found by a pass over all vectors, and how far down its queue a query meets each
+of them gives the recall of every budget; the least that reaches the wanted
+recall is taken, whatever the size of the table, up to all of it.
+
+Without a wanted recall the result is exact: the kth vector met within the
+given budget bounds the true kth distance, and a scan compares every vector
+with blocks of queries and keeps what lies within their bounds; its time
+grows with the product of queries and vectors.
+
+Equal vectors are indexed once, with the smallest ids a result can show, and
+ask once, so a hot vector is one entry and one query. Vectors null, of another
+length than most, zero, or holding null or non-finite components take no part:
+neither as query nor as candidate. Ties go to smaller ids; of rows with one id
+the least vector counts. With fewer other vectors than k all
 are returned. An empty table gives an empty result; other columns are
 not read.
 """
@@ -24,15 +32,18 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import saved
+from vicinity.llm.text import Scratch, shipped
 
 #: The trees are fitted on so many vectors at most, the first by hash.
-SAMPLE = 20_000
-TREES = 32
-#: Vectors that a query's leaves hold in sum, over all trees, copies included, before its bound is taken.
+SAMPLE = 100_000
+TREES = 16
+#: Queries, the first by hash, on which the recall of budgets is measured; what a budget measured so is raised by.
+CALIBRATE, MARGIN = 64, 1.1
+#: Vectors that a query's leaves hold in sum, over all trees, copies included, before an exact search takes its bound.
 SEARCH = 28_000
 #: Vectors a leaf holds on average.
 LEAF = 128
@@ -42,6 +53,20 @@ QUERY_BLOCK = 256
 SCAN_QUERIES = 10_000
 
 
+def rows_of(q: np.ndarray, p: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and distance of the keep nearest of each query, ties beyond them too."""
+    norm, out = (p * p).sum(1), []
+    keep = min(keep, len(p))
+    for i in range(0, len(q), QUERY_BLOCK):
+        block = q[i : i + QUERY_BLOCK]
+        rough = norm[None] - 2 * block @ p.T
+        kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
+        slack = 1e-9 * (1 + np.abs(norm).max() + (block * block).sum(1))
+        x, y = np.nonzero(rough <= (kth + slack)[:, None])
+        out.append((i + x, y, np.sqrt(((block[x] - p[y]) ** 2).sum(1))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 class Forest:
     """Splits of all trees: normals and offsets in heap order, and leaf counts."""
 
@@ -81,14 +106,17 @@ class Forest:
                 out[i : i + 1024, t] = node - (2**self.depth - 1)
         return out
 
-    def visit(self, q: np.ndarray, held: np.ndarray, search: int) -> list[tuple[int, int]]:
-        """The leaves (tree, leaf) a query takes. held: vectors of each tree's leaves."""
+    def visit(self, q: np.ndarray, held: np.ndarray, search: int, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """The leaves (tree, leaf) a query takes. held: vectors of each tree's leaves.
+
+        wanted: the leaves (vectors by trees) of certain vectors; then what the leaves hold up to the first of each, in its order.
+        """
         inner = 2**self.depth - 1
         margin = (np.einsum("tnd,d->tn", self.normal, q) - self.offset).tolist()
         queue = [(0.0, t, 0) for t in range(self.trees)]  # distance to the farthest plane crossed
         heapq.heapify(queue)
-        out, total = [], 0
-        while queue and total < search:
+        out, total, missing = [], 0, set(range(len(wanted))) if wanted is not None else set()
+        while queue and total < search and (wanted is None or missing):
             far, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margin[t][node]
@@ -96,8 +124,13 @@ class Forest:
                 other = 4 * node + 3 - near
                 heapq.heappush(queue, (max(far, abs(m)), t, other))
                 node = near
-            out.append((t, node - inner))
             total += int(held[t, node - inner])
+            if wanted is None:
+                out.append((t, node - inner))
+            else:
+                met = [i for i in missing if wanted[i, t] == node - inner]
+                out += [total] * len(met)
+                missing.difference_update(met)
         return out
 
 
@@ -126,9 +159,9 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     kind = df.schema[vec_col].dataType.simpleString()
     v = F.col(vec_col) if kind in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).dropDuplicates(["id"])
+    rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
+    return rows.where(F.size("v") == (sizes["d"] if sizes else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(col) -> np.ndarray:
@@ -136,24 +169,35 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(float)
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, trees: int = TREES, search: int = SEARCH, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows of every row whose id is divisible by every."""
+def nearest(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, trees: int = TREES, search: int = SEARCH, leaf: int = LEAF, recall: float | None = None
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest other rows of every row whose id is divisible by every.
+
+    recall: the share of true neighbours wanted, measured on the table itself; None: all of them. search is the budget of an exact search.
+    """
+    with Scratch(df.sparkSession, "ann") as scratch:
+        return _nearest(scratch, df, id_col, vec_col, every, k, trees, search, leaf, recall)
+
+
+def _nearest(scratch: Scratch, df: DataFrame, id_col: str, vec_col: str, every: int, k: int, trees: int, search: int, leaf: int, recall: float | None) -> DataFrame:
     spark = df.sparkSession
-    rows = saved(valid_vectors(df, id_col, vec_col), "ann-rows")
+    rows = scratch.save(valid_vectors(df, id_col, vec_col), "rows")
     # one entry for equal vectors: its k + 1 smallest ids answer any query
     first = Window.partitionBy("v").orderBy("id")
     ids = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    points = saved(ids.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-points")
+    points = scratch.save(ids.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "points", keep=True)
     n = points.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = _matrix(points.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().column("v"))
-    sent = spark.sparkContext.broadcast(Forest(sample, n, trees, leaf))
+    forest = Forest(sample, n, trees, leaf)
+    sent = shipped(spark, forest)
+    kind = points.schema["v"].dataType.simpleString()
 
     def file(whole: bool):
         def work(batches):
-            f = sent.value
+            f = sent()
             for b in batches:
                 if len(b):
                     at = f.leaves(_matrix(b.column(1)))
@@ -161,71 +205,83 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
                         cols = {"tree": pa.array(np.full(len(b), t), pa.int32()), "leaf": pa.array(at[:, t])} | ({"rep": b.column(0), "v": b.column(1)} if whole else {})
                         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-        kind = points.schema["v"].dataType.simpleString()
         return points.select("rep", "v").mapInArrow(work, "tree int, leaf long" + f", rep long, v {kind}" * whole)
 
-    held = np.zeros((trees, 2**sent.value.depth), np.int64)
+    held = np.zeros((trees, 2**forest.depth), np.int64)
     for r in file(False).groupBy("tree", "leaf").count().collect():  # trees times leaves, whatever n
         held[r["tree"], r["leaf"]] = r["count"]
     counts = spark.sparkContext.broadcast(held)
+    # equal vectors ask once: the entries that hold a query
+    asking = rows.where(F.col("id") % every == 0)
+    queries = scratch.save(points.select("rep", "v").join(asking.select("v").distinct(), "v", "left_semi").select(F.col("rep").alias("q"), "v"), "queries")
+    best = Window.partitionBy("q").orderBy("score", "rep")
+
+    def scan(part: DataFrame, over: DataFrame, keep: int) -> DataFrame:
+        """q, rep, score of the keep nearest vectors of some queries in every task, within their bounds."""
+        ask = part.toArrow()
+        asked = spark.sparkContext.broadcast((ask.column("q").to_numpy(), _matrix(ask.column("v")), ask.column("bound").to_numpy()))
+
+        def work(batches):
+            of, q, bound = asked.value
+            bound = bound.copy()
+            for b in batches:
+                if len(b) and len(q):
+                    reps = b.column(0).to_numpy()
+                    x, y, score = within(q, bound, _matrix(b.column(1)), reps, keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(of[x]), pa.array(reps[y]), pa.array(score)], names=["q", "rep", "score"])
+
+        return over.select("rep", "v").mapInArrow(work, "q long, rep long, score double")
+
+    open_bound = F.lit(float("inf")).alias("bound")
+    if recall is not None:
+        some = queries.orderBy(F.xxhash64("q"), "q").limit(CALIBRATE).select("q", "v", open_bound)
+        true = scan(some, points, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).where("q != rep").select("q", "rep").join(points.select("rep", "v"), "rep").toArrow()
+        asked = some.toArrow()
+        needs: list[int] = []
+        for i, v in zip(asked.column("q").to_pylist(), _matrix(asked.column("v")), strict=True):
+            mine = true.filter(pc.equal(true.column("q"), i))
+            if mine.num_rows:
+                needs += forest.visit(v, held, trees * n, forest.leaves(_matrix(mine.column("v"))))
+        needs.sort()
+        search = int(MARGIN * needs[min(len(needs) - 1, int(len(needs) * recall))]) + 1 if needs else trees * n
 
     def route(batches):
         for b in batches:
             for i, q in zip(b.column(0), _matrix(b.column(1)) if len(b) else [], strict=True):
-                got = sent.value.visit(q, counts.value, search)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64()), pa.array([i.as_py()] * len(got), pa.int64())], names=["tree", "leaf", "q"])
+                got = sent().visit(q, counts.value, search)
+                m = len(got)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64()), pa.array([i.as_py()] * m, pa.int64())], names=["tree", "leaf", "q"])
 
-    queries = rows.where(F.col("id") % every == 0)
-    routed = queries.select("id", "v").repartition(max(8, spark.sparkContext.defaultParallelism), "id").mapInArrow(route, "tree int, leaf long, q long")
-    members = file(True)
-    asking = saved(routed, "ann-routed").join(queries.select(F.col("id").alias("q"), "v"), "q").select("tree", "leaf", "q", "v")
+    spread = max(8, spark.sparkContext.defaultParallelism)
+    routed = scratch.save(queries.repartition(spread, "q").mapInArrow(route, "tree int, leaf long, q long"), "routed")
+    ask = routed.join(queries, "q").select("tree", "leaf", "q", "v")
 
     def rank(of, to):
-        out: list[list] = [[], [], []]
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if of.num_rows and to.num_rows:
-            p, reps = _matrix(of.column("v")), of.column("rep").to_numpy()
-            q, ask = _matrix(to.column("v")), to.column("q").to_numpy()
-            norm = (p * p).sum(1)
-            keep = min(k + 1, len(p))
-            for i in range(0, len(q), QUERY_BLOCK):
-                block = q[i : i + QUERY_BLOCK]
-                rough = norm[None] - 2 * block @ p.T
-                kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-                slack = 1e-9 * (1 + np.abs(norm).max() + (block * block).sum(1))
-                x, y = np.nonzero(rough <= (kth + slack)[:, None])
-                out[0] += ask[i + x].tolist()
-                out[1] += reps[y].tolist()
-                out[2] += np.sqrt(((block[x] - p[y]) ** 2).sum(1)).tolist()
-        return pa.table({"q": pa.array(out[0], pa.int64()), "rep": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    near = members.groupBy("tree", "leaf").cogroup(asking.groupBy("tree", "leaf")).applyInArrow(rank, "q long, rep long, score double").distinct()
-    best = Window.partitionBy("q").orderBy("score", "rep")
-    seen = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("bound"))
-    bounded = saved(queries.select("id", "v").join(seen, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "ann-bounds")
-    blocks = max(1, -(-bounded.count() // SCAN_QUERIES))
-    spread = points.select("rep", "v").repartition(max(8, spark.sparkContext.defaultParallelism), "rep")
-    spread = spread if blocks == 1 else saved(spread, "ann-spread")
-    near = None
-    for block in range(blocks):
-        ask = bounded.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()  # about SCAN_QUERIES
-        if not ask.num_rows:
-            continue
-        asked = spark.sparkContext.broadcast((ask.column("id").to_numpy(), _matrix(ask.column("v")), ask.column("bound").to_numpy()))
-
-        def scan(batches, asked=asked):
-            of, q, bound = asked.value
-            bound = bound.copy()
-            for b in batches:
-                if len(b):
-                    reps = b.column(0).to_numpy()
-                    x, y, score = within(q, bound, _matrix(b.column(1)), reps, k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(of[x]), pa.array(reps[y]), pa.array(score)], names=["q", "rep", "score"])
+            reps, asked = of.column("rep").to_numpy(), to.column("q").to_numpy()
+            x, y, score = rows_of(_matrix(to.column("v")), _matrix(of.column("v")), k + 1)
+            out = [asked[x], reps[y], score]
+        return pa.table({"q": pa.array(out[0]), "rep": pa.array(out[1]), "score": pa.array(out[2])})
 
-        found = spread.mapInArrow(scan, "q long, rep long, score double")
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        return spark.createDataFrame([], schema)
-    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(points.select("rep", "ids"), "rep")
-    pairs = near.select("q", "score", F.explode("ids").alias("id")).where("id != q")
-    order = Window.partitionBy("q").orderBy("score", "id")
-    return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(F.col("q").alias("query_id"), F.col("r").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    near = file(True).groupBy("tree", "leaf").cogroup(ask.groupBy("tree", "leaf")).applyInArrow(rank, "q long, rep long, score double").distinct()
+    near = near.withColumn("r", F.row_number().over(best))
+    if recall is not None:
+        near = scratch.save(near.where(F.col("r") <= k + 1).select("q", "rep", "score"), "near", keep=True)
+    else:
+        seen = near.where(F.col("r") == k + 1).select("q", F.col("score").alias("bound"))
+        bounded = scratch.save(queries.join(seen, "q", "left").withColumn("bound", F.coalesce("bound", open_bound)), "bounds")
+        blocks = max(1, -(-bounded.count() // SCAN_QUERIES))
+        over = points.select("rep", "v").repartition(spread, "rep")
+        over = over if blocks == 1 else scratch.save(over, "spread")
+        near = scan(bounded if blocks == 1 else bounded.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == 0), over, k + 1)
+        for block in range(1, blocks):
+            near = near.unionByName(scan(bounded.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block), over, k + 1))
+        near = scratch.save(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "rep", "score"), "near", keep=True)
+    # each id of an asking entry gets the ids of the entries near it, less itself
+    own = scratch.save(asking.join(points.select(F.col("rep").alias("q"), "v"), "v").select("q", F.col("id").alias("query_id")), "own", keep=True)
+    pairs = near.join(points.select("rep", "ids"), "rep").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "rep", "ids"))).alias("near"))  # k + 1 entries
+    flat = F.flatten(F.transform("near", lambda e: F.transform(e["ids"], lambda i: F.struct(e["score"].alias("score"), i.alias("vec_id")))))
+    found = F.slice(F.filter(F.sort_array(flat), lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = own.join(pairs, "q").select("query_id", F.posexplode(found).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
