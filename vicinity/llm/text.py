@@ -59,17 +59,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: While tables are written: shuffle files go as their query ends, and batches for Python are bounded by bytes, as texts differ in length.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_writers: dict = {"lock": threading.Lock(), "n": 0, "before": None}
+_SETTINGS = {_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_writers: dict = {"lock": threading.Lock(), "n": 0, "before": {}}
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """While any thread writes, shuffle files go as their query ends."""
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """_SETTINGS hold while any thread writes."""
     with _writers["lock"]:
         if not _writers["n"]:
-            _writers["before"] = spark.conf.get(_CLEANUP, None)
-            spark.conf.set(_CLEANUP, "true")
+            _writers["before"] = {k: spark.conf.get(k, None) for k in _SETTINGS}
+            for k, v in _SETTINGS.items():
+                spark.conf.set(k, v)
         _writers["n"] += 1
     try:
         yield
@@ -77,8 +80,8 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
         with _writers["lock"]:
             _writers["n"] -= 1
             if not _writers["n"]:
-                before = _writers["before"]
-                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+                for k, v in _writers["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 _scope: contextvars.ContextVar = contextvars.ContextVar("vicinity_scratch", default=None)
@@ -115,7 +118,7 @@ class Scratch:
         path = f"{self.root}/{self.number}-{name}"
         self.number += 1
         self.tables.append([None, path, keep])
-        with _shuffles_freed(self.spark):
+        with _settings(self.spark):
             df.write.parquet(path)
         self.tables[-1][0] = out = self.spark.read.schema(df.schema).parquet(path)
         return out
