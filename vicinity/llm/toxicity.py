@@ -12,7 +12,8 @@ on the same sample, and tokens likelier toxic than not are its spans.
 
 Null and empty texts, and texts without tokens, get the score of no evidence
 and no spans. Very long texts are scored whole. Rows, ties and repeated rows
-pass one to one; an empty table or a sample without both labels scores 0.
+pass one to one; of the texts of one labelled id the least is learned from. An
+empty table or a sample without both labels scores 0; further columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator
         yield h
 
 
+def sample_features(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """token_features of many texts, computed some at a time: the hashes' temporaries are many times the text."""
+    parts = [list(token_features(data[offs[i] : offs[j]], lo[first[i] : first[j]] - offs[i], hi[first[i] : first[j]] - offs[i])) for i, j in steps(offs)]
+    return [np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in parts)]) for k in range(len(PREFIXES))]
+
+
 class Model:
     """Picked features and their weights, transitions, and the curve from marginals to a score."""
 
@@ -135,11 +142,12 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     data, offs = flat(pa.array(texts, pa.string()))
     lo, hi, first = letter_runs(data, offs)
     text = np.repeat(np.arange(len(y)), np.diff(first))
+    features = sample_features(data, offs, lo, hi, first)
     n1 = int(y.sum())
     # documents of each feature that toxic documents hold, by label
     is_toxic = y[text] == 1
     found_h, found_t, of = [], [], text[is_toxic]
-    for h in token_features(data, lo, hi):  # kind by kind, for the driver's memory
+    for h in features:
         h = h[is_toxic]
         _, at = np.unique(mix(h) ^ mix(of.astype(np.uint64)), return_index=True)
         at = at[h[at] != 0]
@@ -153,7 +161,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     df0 = np.zeros(len(key), np.int64)
     if len(key):
         seen = []
-        for h in token_features(data, lo, hi):
+        for h in features:
             h0, t0 = h[~is_toxic], text[~is_toxic]
             k = np.minimum(np.searchsorted(key, h0), len(key) - 1)
             ok = key[k] == h0
@@ -178,7 +186,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     model.sieve[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     model.weight = np.zeros(len(model.keys))
     # token labels, and the windows to train on
-    picked = model.pick(token_features(data, lo, hi))
+    picked = model.pick(features)
     has = np.zeros(len(lo), bool)
     for at, _ in picked:
         has[at] = True
@@ -234,7 +242,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
         return Model()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = [known.where(F.col("toxic") == k).orderBy(*order).limit(sample_docs) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(part[0].unionByName(part[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of an id's texts the least
     prior = n.get(1, 0) / (n.get(0, 0) + n.get(1, 0))
 
     def fit_sample(batches):
