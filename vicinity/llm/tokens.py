@@ -7,7 +7,8 @@ counts of its pieces. Pieces repeat, hence each distinct piece of a batch is
 encoded once, in calls balanced by bytes, and its length kept by the worker.
 
 Null and empty texts count 0. Rows, ties and repeated rows pass one to one;
-columns other than the id and text are not read.
+an empty table gives an empty result; columns other than the id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ KEPT_PIECES = 600_000
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 48
 #: Bytes of one call to the tokenizer.
-CALL_CHARS = 1 << 18
+CALL_BYTES = 1 << 18
 
 
 def tokenizer(name: str):
@@ -56,12 +57,12 @@ def tokenizer(name: str):
     return store["tokenizer", name]
 
 
-def balanced(texts: Iterable[str], size: int = CALL_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters."""
+def balanced(texts: Iterable[str], size: int = CALL_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about so many bytes."""
     run, n = [], 0
     for x in texts:
         run.append(x)
-        n += len(x) + 16
+        n += (len(x) if x.isascii() else len(x.encode())) + 16
         if n >= size:
             yield run
             run, n = [], 0
