@@ -12,7 +12,7 @@ from vicinity import errors as E
 from vicinity.engine import KnnEngine, Tree, TreeF32, TreeF64, pack
 from vicinity.operators import strategies
 from vicinity.plans import knn_queries
-from vicinity.sources.points import PointSet, from_numpy, tree_size
+from vicinity.sources.points import PointSet, from_numpy, read_npy, tree_size, write_npy
 
 SF = "/root/testdata/sf0.01"
 
@@ -151,7 +151,7 @@ def test_streaming_queries(spark, tmp_path):
 @pytest.mark.parametrize("name", list(knn_queries.QUERIES))
 def test_registered_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "events", "part"):
+    for t in ("embeddings", "events", "part", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = knn_queries.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
@@ -160,11 +160,83 @@ def test_registered_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_large_k_periodic_query_is_over_all_events(spark):
-    got = knn_queries.QUERIES["knn_periodic_k80_2d"](spark, SF).collect()
-    points = spark.read.parquet(f"{SF}/events.parquet").where("event_id >= 100").count()
-    assert points > 100 and len(got) == 100 * 80
-    assert max(r["neighbor_id"] for r in got) >= 200
+def test_large_k_periodic_queries_are_over_all_rows(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    asked = events.where("event_id % 50 = 0").count()
+    for name in ("knn_periodic_k80_2d", "knn_periodic_k80_3d"):
+        got = knn_queries.QUERIES[name](spark, SF).collect()
+        assert events.count() > 200 and len(got) == asked * 80
+        assert max(r["neighbor_id"] for r in got) >= 200
+    few = knn_queries.QUERIES["knn_periodic_large_k_images"](spark, SF).collect()
+    assert len(few) == 25 * 25 and len({(r["qid"], r["neighbor_id"]) for r in few}) < len(few)
+
+
+def test_image_pairs_repeat_ids(spark):
+    """100 points, k of 80, three dimensions: the unit box."""
+    rng = np.random.default_rng(21)
+    p, q = rng.random((100, 3)), rng.random((40, 3))
+    a, b = frames(spark, p, q)
+    cols = ["c0", "c1", "c2"]
+    want = brute(p, q, 80, [1.0, 1.0, 1.0])
+    for strategy in ("arrow", "kdpart", "grid", "blocked"):
+        got = KnnEngine(PointSet(a, "id", cols), strategy).with_boxsize([1.0, 1.0, 1.0]).query_nearest_k(b, 80, "qid", cols, squared=True).collect()
+        assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got) == want
+    assert len({(i, j) for i, _, j, _ in want}) < len(want)
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_split_cells_and_clustered_points(spark, dim, monkeypatch):
+    """Most points in one place, many at one point, hot queries: cells are split on both sides, nothing is lost."""
+    monkeypatch.setattr(strategies, "CELL_POINTS", 200)
+    monkeypatch.setattr(strategies, "BLOCK_POINTS", 300)
+    rng = np.random.default_rng(dim)
+    p = np.concatenate([rng.normal(0.5, 0.001, (1500, dim)), rng.random((500, dim)), np.full((900, dim), 0.25)])
+    q = np.concatenate([np.repeat(rng.random((1, dim)), 700, 0), rng.random((60, dim)), np.full((3, dim), 0.25)])
+    a, b = frames(spark, p, q)
+    cols = [f"c{i}" for i in range(dim)]
+    for strategy in ("kdpart", "grid"):
+        got = KnnEngine(PointSet(a, "id", cols), strategy).query_nearest_k(b, 4, "qid", cols, squared=True).toPandas().sort_values(["qid", "rank"])
+        d2 = sum((q[:, None, i] - p[None, :, i]) ** 2 for i in range(dim))
+        near = np.argsort(d2, axis=1, kind="stable")[:, :4]
+        assert (got["neighbor_id"].to_numpy().reshape(-1, 4) == near).all()
+        assert (got["distance"].to_numpy().reshape(-1, 4) == np.take_along_axis(d2, near, 1)).all()
+
+
+def test_points_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(strategies, "BROADCAST_BYTES", 100)
+    rng = np.random.default_rng(5)
+    for dim in (2, 14):
+        p, q = rng.random((120, dim)), rng.random((9, dim))
+        a, b = frames(spark, p, q)
+        cols = [f"c{i}" for i in range(dim)]
+        want = [t[:3] for t in brute(p, q, 3)]
+        for strategy in ("auto", "sql", "arrow", "blocked"):
+            got = KnnEngine(PointSet(a, "id", cols), strategy).query_nearest_k(b, 3, "qid", cols)
+            assert sorted((r["qid"], r["rank"], r["neighbor_id"]) for r in got.collect()) == want
+            assert not any(x in got._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_npy_files_and_description(spark, tmp_path):
+    p = np.random.default_rng(6).random((70, 2)).astype(np.float32)
+    np.save(tmp_path / "p.npy", p)
+    points = PointSet(read_npy(spark, str(tmp_path / "p.npy")), "id", ["c0", "c1"], "float")
+    told = points.describe(32)
+    assert (told["n"], told["dim"], told["dtype"], told["tree_size"]) == (70, 2, "float", tree_size(70, 32))
+    assert np.allclose(told["lower"], p.min(0)) and np.allclose(told["upper"], p.max(0))
+    out = KnnEngine(points).query_nearest_k(from_numpy(spark, p[:5]).withColumnRenamed("id", "qid"), 2, "qid", ["c0", "c1"])
+    write_npy(out, str(tmp_path / "out.npy"), ["distance", "neighbor_id"], ["qid", "rank"])
+    got = np.load(tmp_path / "out.npy")
+    assert got.shape == (10, 2) and got[::2, 0].tolist() == [0.0] * 5 and got[::2, 1].tolist() == [0, 1, 2, 3, 4]
+    with pytest.raises(E.DimensionMismatch):
+        from_numpy(spark, p[0])
+
+
+def test_axis_query_needs_a_k(spark):
+    a, b = frames(spark, np.random.default_rng(0).random((20, 2)), np.random.default_rng(1).random((5, 2)))
+    engine = KnnEngine(PointSet(a, "id", ["c0", "c1"]))
+    with pytest.raises(E.InvalidK):
+        engine.query(b, 0, 1, "qid", ["c0", "c1"])
+    assert engine.query(b, None, 1, "qid", ["c0", "c1"]).count() == 5
 
 
 def test_plans(spark):

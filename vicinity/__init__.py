@@ -1 +1,10 @@
-"""vicinity: exact nearest-neighbour analytics as Spark DataFrame plans."""
+"""Exact nearest-neighbour analytics on Spark.
+
+Functions of this package travel to executors by value, so that a cluster needs no installed copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -19,7 +19,10 @@ MOST_PERIODIC_DIMENSIONS = 10
 
 
 class KnnEngine:
-    """Exact nearest neighbours of a query table in a point set. Ties go to smaller ids; a query equal to a point finds it."""
+    """Exact nearest neighbours of a query table in a point set.
+
+    Ties go to smaller ids; a query equal to a point finds it. Query ids are unique: rows of one id rank as one query's.
+    """
 
     def __init__(self, points: PointSet, strategy: str = "auto", box: Sequence[float] | None = None) -> None:
         if strategy != "auto" and strategy not in STRATEGIES:
@@ -68,9 +71,6 @@ class KnnEngine:
             raise E.InvalidK("k is 1 at least")
         queries = self._queries(df, id_col, self.points.coords if coords is None else coords)
         pairs = self._plan()(self.points, queries, k, self.box, axis)
-        threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-        if k > int(threshold):
-            df.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
         # a periodic join ranks (point, image) pairs: an id can repeat, and min(k, n) pairs are kept
         return keep_k(pairs, min(k, self.points.n))
 
@@ -107,7 +107,7 @@ class KnnEngine:
     def query(self, queries: DataFrame, k: int | None = None, axis: int | None = None, id_col: str = "qid", coords=None) -> DataFrame:
         """k-NN, or axis-split k-NN if an axis is given."""
         if axis is not None:
-            return self.query_nearest_k_axis(queries, k or 1, axis, id_col, coords)
+            return self.query_nearest_k_axis(queries, 1 if k is None else k, axis, id_col, coords)
         return self.query_nearest_k(queries, 1 if k is None else k, id_col, coords)
 
 
@@ -140,7 +140,7 @@ class Tree:
         q = from_numpy(self.spark, np.asarray(query)).withColumnRenamed("id", "qid")
         out = self.engine.query(q, k, axis, "qid", [f"c{i}" for i in range(np.asarray(query).shape[1])])
         rows = out.toPandas().sort_values(["qid", "rank"])
-        width = min(k or 1, self.points.n)
+        width = min(1 if k is None else k, self.points.n)
         names = ("axis_distance", "nonaxis_distance") if axis is not None else ("distance", "neighbor_id")
         a, b = (rows[c].to_numpy().reshape(len(query), width) for c in names)
         return (a[:, 0], b[:, 0]) if axis is None and (k is None or k == 1) else (a, b)

@@ -22,12 +22,6 @@ def squared_euclidean(a: Sequence, b: Sequence) -> Column:
     return reduce(lambda s, t: s + t, [_square(x - y) for x, y in zip(_cols(a), _cols(b), strict=True)])
 
 
-def squared_euclidean_array(a: str | Column, b: str | Column, dtype: str = "double") -> Column:
-    """The same for array columns of any length."""
-    a, b = _cols([a, b])
-    return F.aggregate(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast(dtype)), F.lit(0.0).cast(dtype), lambda s, x: (s + x).cast(dtype))
-
-
 def squared_euclidean_axis(a: Sequence, b: Sequence, axis: int) -> tuple[Column, Column, Column]:
     """Total, share along the axis, share of the other dimensions."""
     parts = [_square(x - y) for x, y in zip(_cols(a), _cols(b), strict=True)]

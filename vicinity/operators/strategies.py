@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions import geometry as G
-from vicinity.operators.kernel import as_arrow, coordinates, image_shifts, top_k
+from vicinity.operators.kernel import TREE_DIMENSIONS, LocalTree, as_arrow, coordinates, image_shifts, neighbours, top_k, worker_store
 
-#: Points that are broadcast at most, in bytes of coordinates and ids.
+#: Points, or queries, that are broadcast at most, in bytes of coordinates and ids.
 BROADCAST_BYTES = 32 << 20
-#: Points of a cell on average, and of a block at most; larger cells are split.
-CELL_POINTS = 512
-BLOCK_POINTS = 65_536
-#: The cuts of kd cells come from so many points at most.
-SAMPLE_POINTS = 50_000
-MOST_CELLS = 16_384
+#: Points of a cell on average, and points and queries that meet in one task at most; larger cells are split.
+CELL_POINTS = 32_768
+BLOCK_POINTS = 262_144
+#: The cuts of kd cells come from so many points at most; beyond so many cells they grow with the data.
+SAMPLE_POINTS = 200_000
+MOST_CELLS = 65_536
+#: Points of a cell of the grid at most; data with fuller cells go to kd cells.
+GRID_POINTS = 4096
 
 
 def _schema(points, axis) -> str:
@@ -59,91 +64,103 @@ def fits_broadcast(points) -> bool:
 
 
 def sql(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
-    """Nested loop over broadcast points, whole in generated code; only for points within the broadcast bound."""
+    """Nested loop over broadcast points, whole in generated code; beyond the broadcast bound, kd cells."""
+    if not fits_broadcast(points):
+        return kdpart(points, queries, k, box, axis)
     q = _renamed(images(queries, points.dim, box), points.dim)
-    p = points.frame.withColumnRenamed("id", "nid")
-    p = F.broadcast(p) if fits_broadcast(points) else p
+    p = F.broadcast(points.frame.withColumnRenamed("id", "nid"))
     return q.join(p, F.lit(True)).select("qid", "nid", *_columns(points, axis))
 
 
 def arrow(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
-    """Each task ranks its queries against broadcast points in numpy; beyond the bound, by blocks."""
+    """Each task ranks its queries against broadcast points, by a tree or in few points or many dimensions one by one; beyond the bound, kd cells."""
     if not fits_broadcast(points):
-        return blocked(points, queries, k, box, axis)
+        return kdpart(points, queries, k, box, axis)
     table = points.frame.orderBy("id").toArrow()  # within BROADCAST_BYTES
     sent = queries.sparkSession.sparkContext.broadcast((coordinates(table, points.dim, points.dtype), table.column("id").to_numpy()))
-    dim, dtype = points.dim, points.dtype
+    dim, dtype, key = points.dim, points.dtype, uuid.uuid4().hex
 
     def work(batches):
         p, ids = sent.value
+        tree = None
+        if dim <= TREE_DIMENSIONS:
+            store = worker_store()
+            if store.get("key") != key:  # one tree a worker
+                store |= {"key": key, "tree": LocalTree(p, ids, k)}
+            tree = store["tree"]
         for b in batches:
-            q = coordinates(b, dim, dtype)
-            for i, x in enumerate(image_shifts(q, box) if box is not None else [q]):
-                at, y, *d = top_k(x, p, ids, k, axis)
-                yield pa.RecordBatch.from_pydict(as_arrow(np.asarray(b.column(0))[at], ids[y], *d))
+            at, nid, *d = neighbours(coordinates(b, dim, dtype), p, ids, k, axis, box, tree)
+            yield pa.RecordBatch.from_pydict(as_arrow(np.asarray(b.column(0))[at], nid, *d))
 
     kind = queries.schema["qid"].dataType.simpleString()
     return queries.mapInArrow(work, _schema(points, axis).format(q=kind))
 
 
-def _ranked_cells(points, axis, k, q_kind):
-    dim, dtype = points.dim, points.dtype
-
-    def rank(p, q):
-        if not p.num_rows or not q.num_rows:
-            return pa.table(as_arrow(*[np.zeros(0, t) for t in (np.int64, np.int64, dtype_np)], *([np.zeros(0, dtype_np)] * 2 if axis is not None else (None, None))))
-        ids = p.column("id").to_numpy()
-        at, y, *d = top_k(coordinates(q, dim, dtype), coordinates(p, dim, dtype), ids, k, axis)
-        return pa.table(as_arrow(q.column("qid").to_numpy()[at], ids[y], *d))
-
-    dtype_np = np.float32 if dtype == "float" else np.float64
-    return rank, _schema(points, axis).format(q=q_kind)
-
-
 def blocked(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
-    """All queries against all points, block by block: for many dimensions, where nothing can be pruned."""
-    blocks = max(1, -(-points.n // BLOCK_POINTS))
-    p = points.frame.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # query blocks keep the queries of a group few
-    q = images(queries, points.dim, box).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(64)).cast("int"))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))) if blocks == 1 else p.withColumn("part", F.lit(0))
-    q = q if blocks == 1 else q.withColumn("part", F.lit(0))
-    rank, schema = _ranked_cells(points, axis, k, queries.schema["qid"].dataType.simpleString())
-    return p.groupBy("cell", "part").cogroup(q.groupBy("cell", "part")).applyInArrow(rank, schema)
-
-
-def grid(points, queries: DataFrame, k: int, box, axis, side: float | None = None, retries: int = 3) -> DataFrame:
-    """Equal cells: a query meets the 3**D cells around its own, and is done if its kth neighbour is nearer than a cell's side.
-
-    Others try cells twice as large; those left after the retries go to kd cells. For few dimensions and even data.
+    """All queries against all points, for many dimensions, where nothing can be pruned.
+
+    Queries are broadcast in blocks within the broadcast bound; each task passes its points by them and keeps k a query. No point moves.
+    """
+    q = images(queries, points.dim, box)
+    dim, dtype = points.dim, points.dtype
+    size = dim * (4 if dtype == "float" else 8) + 8
+    blocks = max(1, -(-q.count() * size // BROADCAST_BYTES))
+    none = np.zeros(0, np.float32 if dtype == "float" else np.float64)
+    kind = queries.schema["qid"].dataType.simpleString()
+    out = None
+    for block in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(*[f"c{i}" for i in range(dim)]), F.lit(blocks)) == block)
+        table = part.toArrow()  # about BROADCAST_BYTES
+        sent = queries.sparkSession.sparkContext.broadcast((coordinates(table, dim, dtype), np.asarray(table.column("qid"))))
+
+        def work(batches, sent=sent):
+            asked, qid = sent.value
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), none, *((none, none) if axis is not None else (None, None)))
+            for b in batches:
+                if not len(b) or not len(asked):
+                    continue
+                ids = b.column(b.schema.get_field_index("id")).to_numpy()
+                at, y, *d = top_k(asked, coordinates(b, dim, dtype), ids, k, axis)
+                best = [np.concatenate(c) if c[0] is not None else None for c in zip(best, (at, ids[y], *d), strict=True)]
+                by = np.lexsort((best[1], best[2], best[0]))
+                by = by[np.arange(len(by)) - np.searchsorted(best[0][by], best[0][by]) < k]
+                best = [c[by] if c is not None else None for c in best]
+            if len(best[0]):
+                yield pa.RecordBatch.from_pydict(as_arrow(qid[best[0]], *best[1:]))
+
+        found = points.frame.mapInArrow(work, _schema(points, axis).format(q=kind))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def grid(points, queries: DataFrame, k: int, box, axis, side: float | None = None) -> DataFrame:
+    """Equal cells, all in the JVM: a query meets the 3**D cells around its own, and is done if its kth neighbour is nearer than a cell's side.
+
+    Queries that aren't, and data with cells of more than GRID_POINTS points, go to kd cells. For few dimensions and even data.
     """
     dim, cols = points.dim, points.cols
     span = [max(float(u) - float(lo), 1e-300) for lo, u in zip(points.lower, points.upper, strict=True)]
     h = side or max(max(span) * 1e-6, float(np.prod(span) * 2 * k / points.n) ** (1 / dim))
     lower = [float(x) for x in points.lower]
-    todo = images(queries, dim, box).withColumn("image", F.monotonically_increasing_id() if box is not None else F.lit(0).cast("long"))
-    if box is not None:
-        # images are ranked as one query each and merge later
-        todo = todo.persist()
-    out = None
-    for _ in range(retries):
-        cell = lambda c, i: F.floor((F.col(c).cast("double") - lower[i]) / h)  # noqa: E731, B023
-        p = points.frame.withColumnsRenamed({"id": "nid"}).withColumns({f"g{i}": cell(c, i) for i, c in enumerate(cols)})
-        q = todo.select("qid", "image", *[F.col(c).alias(f"q{i}") for i, c in enumerate(cols)])
-        for i in range(dim):
-            q = q.withColumn(f"g{i}", F.explode(F.array(*[F.floor((F.col(f"q{i}").cast("double") - lower[i]) / h) + d for d in (-1, 0, 1)])))
-        pairs = q.join(p, [f"g{i}" for i in range(dim)]).select("qid", "image", "nid", *_columns(points, axis))
-        w = Window.partitionBy("qid", "image").orderBy("d2", "nid")
-        near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        kth = near.where(F.col("rank") == min(k, points.n)).where(F.sqrt("d2") < h * (1 - 1e-9)).select("qid", "image")
-        sure = near.join(kth, ["qid", "image"], "left_semi").drop("image", "rank")
-        out = sure if out is None else out.unionByName(sure)
-        left = todo.join(kth, ["qid", "image"], "left_anti")
-        if left.isEmpty():
-            return out
-        todo, h = left, 2 * h
-    return out.unionByName(kdpart(points, todo.drop("image"), k, None, axis))
+    cell = lambda c, i: F.floor((F.col(c).cast("double") - lower[i]) / h)
+    names = [f"g{i}" for i in range(dim)]
+    p = points.frame.withColumnsRenamed({"id": "nid"}).withColumns({names[i]: cell(c, i) for i, c in enumerate(cols)})
+    if (p.groupBy(*names).count().agg(F.max("count")).first()[0] or 0) > GRID_POINTS:
+        return kdpart(points, queries, k, box, axis)
+    todo = queries.withColumn("image", F.lit(0))
+    for i, c in enumerate(cols if box is not None else []):  # images, numbered by the dimensions that are shifted
+        moved = F.struct(G.shifted(F.col(c), box[i]).cast(queries.schema[c].dataType).alias("c"), (F.col("image") + 2**i).alias("image"))
+        todo = todo.withColumn("place", F.explode(F.array(F.struct(F.col(c).alias("c"), F.col("image")), moved))).withColumns({c: F.col("place.c"), "image": F.col("place.image")}).drop("place")
+    q = todo.select("qid", "image", *[F.col(c).alias(f"q{i}") for i, c in enumerate(cols)])
+    for i in range(dim):
+        q = q.withColumn(names[i], F.explode(F.array(*[cell(f"q{i}", i) + d for d in (-1, 0, 1)])))
+    pairs = q.join(p, names).select("qid", "image", "nid", *_columns(points, axis))
+    w = Window.partitionBy("qid", "image").orderBy("d2", "nid")
+    near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    sure = near.where(F.col("rank") == min(k, points.n)).where(F.sqrt("d2") < h * (1 - 1e-9)).select("qid", "image")
+    done = near.join(sure, ["qid", "image"], "left_semi").drop("image", "rank")
+    left = todo.join(sure, ["qid", "image"], "left_anti").drop("image")
+    return done.unionByName(kdpart(points, left, k, None, axis))
 
 
 class Cells:
@@ -168,62 +185,193 @@ class Cells:
         return node - (2**self.depth - 1)
 
 
+class CellBoxes:
+    """Tight boxes of the cells and of the nodes above them; an empty cell is nowhere."""
+
+    def __init__(self, depth: int, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        low, high = np.full((2**depth, lo.shape[1]), np.inf), np.full((2**depth, lo.shape[1]), -np.inf)
+        low[cell], high[cell] = lo, hi
+        self.levels = [(low, high)]
+        while len(low) > 1:
+            low, high = np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])
+            self.levels.insert(0, (low, high))
+
+    @staticmethod
+    def _near(lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (np.maximum(np.maximum(lo - x, x - hi), 0) ** 2).sum(1)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """A cell with points near each place."""
+        node = np.zeros(len(x), np.int64)
+        for lo, hi in self.levels[1:]:
+            left, right = 2 * node, 2 * node + 1
+            node = np.where(self._near(lo[right], hi[right], x) < self._near(lo[left], hi[left], x), right, left)
+        return node
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cells whose squared distance is reach at most."""
+        of, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for k, (lo, hi) in enumerate(self.levels):
+            if k:
+                of, node = np.repeat(of, 2), np.repeat(2 * node, 2)
+                node[1::2] += 1
+            near = self._near(lo[node], hi[node], x[of])
+            ok = (near <= reach[of]) & np.isfinite(near)
+            of, node = of[ok], node[ok]
+        return of, node
+
+
+def _mixed(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A part below parts for each value, the same wherever it is computed."""
+    h = np.array([zlib.crc32(repr(v).encode()) for v in x.tolist()], np.int64) if (parts > 1).any() else np.zeros(len(x), np.int64)
+    return h % parts
+
+
 def kdpart(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
-    """Balanced kd cells with tight boxes. A query visits the cells that its kth neighbour can be in.
+    """Balanced kd cells with tight boxes and a tree in every task.
 
-    Boxes and counts alone bound the kth distance: cells whose farthest corners lie within some radius hold k points.
-    Cells of more than BLOCK_POINTS points are split, so coincident points don't make one task.
+    A query first meets the cell nearest to it; the kth distance found there tells which other cells, of which of its images, hold
+    nearer points, and only those are visited. Cells with more than BLOCK_POINTS points or queries are split, so coincident ones
+    don't make one task.
     """
-    dim, dtype = points.dim, points.dtype
-    depth = 0
-    while points.n / 2**depth > CELL_POINTS and 2 ** (depth + 1) <= MOST_CELLS:
+    dim, dtype, cols, n = points.dim, points.dtype, points.cols, points.n
+    depth, tasks = 0, 4 * queries.sparkSession.sparkContext.defaultParallelism
+    while (n / 2**depth > CELL_POINTS or 2**depth < tasks and n / 2**depth > CELL_POINTS // 16) and 2 ** (depth + 1) <= MOST_CELLS:
         depth += 1
-    sample = points.frame.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_POINTS) if points.n > SAMPLE_POINTS else points.frame
+    sample = points.frame.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_POINTS) if n > SAMPLE_POINTS else points.frame
     cells = Cells(coordinates(sample.toArrow(), dim, "double"), depth)
-    kinds = points.frame.schema
+    kinds, q_kind = points.frame.schema, queries.schema["qid"].dataType.simpleString()
 
     def assign(batches):
         for b in batches:
             at = cells.of(coordinates(b, dim, dtype).astype(float))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "cell"])
 
-    p = points.frame.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", cell int")
-    boxes = sorted(p.groupBy("cell").agg(F.count("*"), *[f(c) for c in points.cols for f in (F.min, F.max)]).collect())  # MOST_CELLS rows at most
-    number = np.array([b[0] for b in boxes], np.int64)
-    count = np.array([b[1] for b in boxes], np.int64)
-    lo, hi = np.array([b[2::2] for b in boxes], float), np.array([b[3::2] for b in boxes], float)
-    splits = -(-count // BLOCK_POINTS)
-    sent = queries.sparkSession.sparkContext.broadcast((number, count, lo, hi, splits))
+    described = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    p = points.frame.mapInArrow(assign, described + ", cell int")
+    found = sorted(p.groupBy("cell").agg(F.count("*"), *[f(c) for c in cols for f in (F.min, F.max)]).collect())  # MOST_CELLS rows at most
+    number = np.array([b[0] for b in found], np.int64)
+    boxes = CellBoxes(depth, number, np.array([b[2::2] for b in found], float), np.array([b[3::2] for b in found], float))
+    p_parts = np.ones(2**depth, np.int64)
+    p_parts[number] = [-(-b[1] // BLOCK_POINTS) for b in found]
 
-    def visit(batches):
-        number, count, lo, hi, splits = sent.value
+    def home(batches):
+        for b in batches:
+            if len(b):
+                at = boxes.nearest(coordinates(b, dim, dtype).astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], names=["cell"])
+
+    q_parts = np.ones(2**depth, np.int64)
+    for r in queries.mapInArrow(home, "cell int").groupBy("cell").count().where(F.col("count") > BLOCK_POINTS).collect():
+        q_parts[r["cell"]] = -(-r["count"] // BLOCK_POINTS)
+    sent = queries.sparkSession.sparkContext.broadcast((p_parts, q_parts))
+
+    def spread(at: np.ndarray, cell: np.ndarray, own: np.ndarray, parts: np.ndarray, others: np.ndarray):
+        """Rows once for each part of the other side: row, its own part, the other's."""
+        times = others[cell]
+        row = np.repeat(np.arange(len(cell)), times)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        return at[row], cell[row], _mixed(own, parts[cell])[row], other
+
+    def deal(batches):
+        p_parts, q_parts = sent.value
+        for b in batches:
+            cell = b.column(b.schema.get_field_index("cell")).to_numpy().astype(np.int64)
+            row, cell, x, y = spread(np.arange(len(b)), cell, b.column(0).to_numpy(zero_copy_only=False), p_parts, q_parts)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns[:-1]], *[pa.array(v.astype(np.int32)) for v in (cell, x, y)]], names=[*b.schema.names[:-1], "cell", "x", "y"])
+
+    dealt = p.mapInArrow(deal, described + ", cell int, x int, y int")
+    # what travels to a cell: places that ask, with the squared distance that counts (kind 0: what is at the place itself; 1: beyond), or what was found (kind 2)
+    some = f"qid {q_kind}, {', '.join(f'{c} {dtype}' for c in cols)}, bound {dtype}, cell int, x int, y int"
+
+    def ask(qid, x: np.ndarray, bound: np.ndarray, cell: np.ndarray):
+        p_parts, q_parts = sent.value
+        row, cell, own, other = spread(np.arange(len(x)), cell, np.asarray(qid), q_parts, p_parts)
+        return pa.RecordBatch.from_arrays([qid.take(pa.array(row)), *[pa.array(x[row, i]) for i in range(dim)], pa.array(bound[row]), *[pa.array(v.astype(np.int32)) for v in (cell, other, own)]], names=["qid", *cols, "bound", "cell", "x", "y"])
+
+    kind = np.float32 if dtype == "float" else np.float64
+
+    def first(batches):
+        for b in batches:
+            if len(b):
+                x = coordinates(b, dim, dtype)
+                yield ask(b.column(0), x, np.full(len(x), np.inf, kind), boxes.nearest(x.astype(float)))
+
+    values = f"nid {kinds['id'].dataType.simpleString()}, d2 {dtype}, ax {dtype}, nonax {dtype}"
+    first_schema = some + ", done array<struct<" + values.replace(" ", ":").replace(",:", ", ") + ">>"
+
+    def meet(pt, qt):
+        """Each query with what its cell holds for it."""
+        q, held = coordinates(qt, dim, dtype), coordinates(pt, dim, dtype)
+        bound = np.asarray(qt.column("bound"))
+        ids = pt.column("id").to_numpy() if pt.num_rows else np.zeros(0, np.int64)
+        if not len(q) or not len(held):
+            return np.zeros(0, np.int64), ids[:0], np.zeros(0, kind), np.zeros(0, kind), np.zeros(0, kind)
+        if len(held) > 64 and dim <= TREE_DIMENSIONS:
+            at, nid, d2, ax, rest = LocalTree(held, ids, k).query(q, axis, bound=bound)
+        else:
+            at, y, d2, ax, rest = top_k(q, held, ids, k, axis)
+            nid = ids[y]
+        ok = d2 <= bound[at]
+        none = np.zeros(int(ok.sum()), kind)
+        return at[ok], nid[ok], d2[ok], none if ax is None else ax[ok], none if rest is None else rest[ok]
+
+    def nearby(pt, qt):
+        """The queries of a cell with their neighbours there, in order."""
+        at, *d = meet(pt, qt)
+        cut = np.searchsorted(at, np.arange(qt.num_rows + 1))
+        done = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(c) for c in d], ["nid", "d2", "ax", "nonax"]))
+        return qt.append_column("done", done)
+
+    asked = queries.mapInArrow(first, some)
+    met = dealt.groupBy("cell", "x", "y").cogroup(asked.groupBy("cell", "x", "y")).applyInArrow(nearby, first_schema)
+    keep = min(k, n)
+
+    def route(batches):
+        """What was found, and the visits to other cells."""
         for b in batches:
-            q = coordinates(b, dim, dtype)
-            for x in image_shifts(q, box) if box is not None else [q]:
-                for a in range(0, len(x), max(1, (1 << 20) // len(number))):
-                    v = x[a : a + max(1, (1 << 20) // len(number))].astype(float)[:, None, :]
-                    near = (np.maximum(np.maximum(lo[None] - v, v - hi[None]), 0) ** 2).sum(2)
-                    far = (np.maximum(np.abs(v - lo[None]), np.abs(v - hi[None])) ** 2).sum(2)
-                    by = np.argsort(far, axis=1)
-                    enough = np.argmax(np.cumsum(count[by], axis=1) >= min(k, int(count.sum())), axis=1)
-                    reach = np.take_along_axis(far, np.take_along_axis(by, enough[:, None], 1), 1)
-                    slack = 1e-5 if dtype == "float" else 1e-9
-                    i, c = np.nonzero(near <= reach * (1 + slack))
-                    n = splits[c]
-                    i, c = np.repeat(i, n), np.repeat(c, n)
-                    salt = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + a)), *[pa.array(x[i + a, d]) for d in range(dim)], pa.array(number[c].astype(np.int32)), pa.array(salt.astype(np.int32))], names=["qid", *points_cols, "cell", "salt"])
-
-    points_cols = points.cols
-    q_kind = queries.schema["qid"].dataType.simpleString()
-    asked = queries.mapInArrow(visit, f"qid {q_kind}, " + ", ".join(f"{c} {dtype}" for c in points.cols) + ", cell int, salt int")
-    parts = {int(c): int(s) for c, s in zip(number, splits, strict=True) if s > 1}
-    salt = F.lit(0)
-    if parts:
-        m = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
-        salt = F.pmod(F.xxhash64("id"), F.coalesce(m[F.col("cell")], F.lit(1))).cast("int")
-    rank, schema = _ranked_cells(points, axis, k, q_kind)
-    return p.withColumn("salt", salt.cast("int")).groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(rank, schema)
+            if not len(b):
+                continue
+            x, done = coordinates(b, dim, dtype), b.column(b.schema.get_field_index("done"))
+            size = np.diff(done.offsets.to_numpy())
+            v = done.flatten()
+            d2 = v.field(1).to_numpy()
+            bound = np.full(len(x), np.inf, kind)
+            ends = np.cumsum(size)
+            bound[size >= keep] = d2[ends[size >= keep] - 1]
+            home_cell = b.column(b.schema.get_field_index("cell")).to_numpy()
+            # a query of a split cell was sent to all its parts; one of them sends it on
+            lead = b.column(b.schema.get_field_index("x")).to_numpy() == 0
+            row = np.repeat(np.arange(len(x)), size)
+            yield rows_of(b.column(0).take(pa.array(row)), v)
+            slack = bound.astype(float) * (1 + (1e-5 if dtype == "float" else 1e-9))
+            for m, place in enumerate(image_shifts(x, box) if box is not None else [x]):
+                at, cell = boxes.within(place.astype(float), slack)
+                ok = lead[at] & ((cell != home_cell[at]) | (m > 0))
+                at, cell = at[ok], cell[ok]
+                if len(at):
+                    visits = ask(b.column(0).take(pa.array(at)), place[at], bound[at], cell)
+                    yield pa.RecordBatch.from_arrays([*visits.columns, *[pa.nulls(len(visits), f.type) for f in v.type]], names=[*visits.schema.names, *row_names])
+
+    row_names = ["nid", "d2", "ax", "nonax"]
+
+    def rows_of(qid, v):
+        n = len(qid)
+        where = 1 + np.arange(n, dtype=np.int32) % 4096  # anywhere but at a cell
+        nulls = [pa.nulls(n, v.type[1].type)] * (dim + 1)
+        return pa.RecordBatch.from_arrays([qid, *nulls, pa.array(-where), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), *[v.field(i) for i in range(4)]], names=["qid", *cols, "bound", "cell", "x", "y", *row_names])
+
+    routed = met.mapInArrow(route, some + ", " + values)
+
+    def finish(pt, qt):
+        names = ["qid", *row_names]
+        if not pt.num_rows or not qt.num_rows:
+            return qt.select(names).filter(pc.is_valid(qt.column("nid")))
+        at, *d = meet(pt, qt)
+        return pa.table([qt.column("qid").take(pa.array(at)), *[pa.array(c, qt.schema.field(f).type) for c, f in zip(d, row_names, strict=True)]], names=names)
+
+    out = dealt.groupBy("cell", "x", "y").cogroup(routed.groupBy("cell", "x", "y")).applyInArrow(finish, f"qid {q_kind}, " + values)
+    return out if axis is not None else out.drop("ax", "nonax")
 
 
 STRATEGIES = {"sql": sql, "arrow": arrow, "grid": grid, "kdpart": kdpart, "blocked": blocked}

@@ -11,8 +11,12 @@ from vicinity.sources.points import PointSet
 
 DAY = 86_400_000_000
 BOX2 = [86_400.0, 1000.0]
+BOX3 = [86_400.0, 1000.0, 1_000_000.0]
+BOXN = [30.0, 6.0]
 XYZ = ["x", "y", "z"]
 XY = ["x", "y"]
+#: Searches ask with every row whose id this divides, against all rows.
+EVERY = 50
 
 
 def _emb3(spark: SparkSession, d: str) -> DataFrame:
@@ -20,25 +24,35 @@ def _emb3(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(XYZ)])
 
 
-def _ev2(spark: SparkSession, d: str) -> DataFrame:
+def _ev3(spark: SparkSession, d: str) -> DataFrame:
+    """Events by time of day, value (a negative zero counts as zero) and user."""
     e = spark.read.parquet(f"{d}/events.parquet")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select("event_id", ((micros % DAY) / F.lit(1e6)).alias("x"), F.col("value").alias("y"))
+    return e.select("event_id", ((micros % DAY) / F.lit(1e6)).alias("x"), (F.col("value") + F.lit(0.0)).alias("y"), F.col("user_id").cast("double").alias("z"))
+
+
+def _ev2(spark: SparkSession, d: str) -> DataFrame:
+    return _ev3(spark, d).drop("z")
+
 
+def _nation(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return n.select("n_nationkey", F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"))
 
-def _split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col(key) < 100), df.where(F.col(key) >= 100)
+
+def _asking(df: DataFrame, key: str) -> DataFrame:
+    return df.where(F.col(key) % EVERY == 0)
 
 
 def _emb_engine(spark, d, strategy="auto"):
-    q, p = _split(_emb3(spark, d), "vec_id")
-    return KnnEngine(PointSet(p, "vec_id", XYZ), strategy), q
+    p = _emb3(spark, d)
+    return KnnEngine(PointSet(p, "vec_id", XYZ), strategy), _asking(p, "vec_id")
 
 
 def _ev_engine(spark, d, strategy="auto", periodic=False):
-    q, p = _split(_ev2(spark, d), "event_id")
+    p = _ev2(spark, d)
     engine = KnnEngine(PointSet(p, "event_id", XY), strategy)
-    return (engine.with_boxsize(BOX2) if periodic else engine), q
+    return (engine.with_boxsize(BOX2) if periodic else engine), _asking(p, "event_id")
 
 
 def nn1_3d(spark, d):
@@ -81,18 +95,18 @@ def _knn2(strategy):
 def knn_f32_64d(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     engine = KnnEngine(PointSet(e, "vec_id", "embedding", "float"))
-    return engine.query_nearest_k(e.where("vec_id < 100"), 5, "vec_id")
+    return engine.query_nearest_k(_asking(e, "vec_id"), 5, "vec_id")
 
 
 def knn_blocked_64d(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     engine = KnnEngine(PointSet(e, "vec_id", "embedding", "float"), "blocked")
-    return engine.query_nearest_k(e.where("vec_id < 100"), 5, "vec_id")
+    return engine.query_nearest_k(_asking(e, "vec_id"), 5, "vec_id")
 
 
 def knn_k_gt_n(spark, d):
-    q, p = _split(_emb3(spark, d), "vec_id")
-    return KnnEngine(PointSet(p.where("vec_id < 120"), "vec_id", XYZ)).query_nearest_k(q, 50, "vec_id")
+    p = _nation(spark, d)
+    return KnnEngine(PointSet(p, "n_nationkey", XY)).query_nearest_k(p, 50, "n_nationkey")
 
 
 def knn_packed(spark, d):
@@ -103,7 +117,7 @@ def knn_packed(spark, d):
 
 def knn_ties_2d(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return KnnEngine(PointSet(p.where("p_partkey >= 50"), "p_partkey", XY)).query_nearest_k(p.where("p_partkey < 50"), 10, "p_partkey")
+    return KnnEngine(PointSet(p, "p_partkey", XY)).query_nearest_k(_asking(p, "p_partkey"), 10, "p_partkey")
 
 
 def knn_periodic_2d(spark, d):
@@ -116,14 +130,19 @@ def knn_periodic_k80_2d(spark, d):
     return e.query_nearest_k(q, 80, "event_id")
 
 
-def _large_k(spark, d):
-    q, p = _split(_ev2(spark, d).where("event_id < 200"), "event_id")
-    return KnnEngine(PointSet(p, "event_id", XY)).with_boxsize(BOX2), q
+def _ev3_periodic(k, strategy="auto"):
+    def run(spark, d):
+        p = _ev3(spark, d)
+        engine = KnnEngine(PointSet(p, "event_id", XYZ), strategy).with_boxsize(BOX3)
+        return engine.query_nearest_k(_asking(p, "event_id"), k, "event_id")
+
+    return run
 
 
 def knn_periodic_large_k_images(spark, d):
-    e, q = _large_k(spark, d)
-    return e.query_nearest_k(q, 80, "event_id")
+    """As many neighbours as points: images of near points come before far points, so ids repeat."""
+    p = _nation(spark, d)
+    return KnnEngine(PointSet(p, "n_nationkey", XY)).with_boxsize(BOXN).query_nearest_k(p, 80, "n_nationkey")
 
 
 def knn_axis_3d(spark, d):
@@ -195,6 +214,8 @@ QUERIES = {
     "knn_ties_2d": knn_ties_2d,
     "knn_periodic_2d": knn_periodic_2d,
     "knn_periodic_k80_2d": knn_periodic_k80_2d,
+    "knn_periodic_k80_3d": _ev3_periodic(80),
+    "knn_periodic_kdpart_3d": _ev3_periodic(10, "kdpart"),
     "knn_periodic_large_k_images": knn_periodic_large_k_images,
     "knn_axis_3d": knn_axis_3d,
     "knn_axis_periodic_2d": knn_axis_periodic_2d,
@@ -209,19 +230,27 @@ QUERIES = {
 
 _E3 = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
 _EV = "SELECT event_id AS id, (epoch_us(ts) % 86400000000) / 1e6 AS x, value AS y FROM events"
+_EV3 = "SELECT event_id AS id, (epoch_us(ts) % 86400000000) / 1e6 AS x, value AS y, user_id::DOUBLE AS z FROM events"
+_NATION = "SELECT n_nationkey AS id, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation"
 _D3 = "(q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z)"
 _D2 = "(q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)"
 
 
-def _knn_sql(base: str, d2: str, k: int, cols: str, where_p: str = "id >= 100", where_q: str = "id < 100", extra: str = "", images: bool = False) -> str:
-    image = "" if not images else f"""
-  , q0 AS (SELECT id, unnest([x, CASE WHEN x < {BOX2[0]}/2 THEN x + {BOX2[0]} ELSE x - {BOX2[0]} END]) AS x, y FROM base WHERE {where_q})
-  , q AS (SELECT id, x, unnest([y, CASE WHEN y < {BOX2[1]}/2 THEN y + {BOX2[1]} ELSE y - {BOX2[1]} END]) AS y FROM q0)"""
-    q = "q" if images else f"(SELECT * FROM base WHERE {where_q}) q"
+def _knn_sql(base: str, d2: str, k: int, cols: str, where_q: str = f"id % {EVERY} = 0", extra: str = "", box: list[float] | None = None) -> str:
+    """box: the 2**D images of each query rank with it, and as many pairs are kept as there are points."""
+    image, q = "", f"(SELECT * FROM base WHERE {where_q}) q"
+    if box:
+        names, last = "xyz"[: len(box)], f"(SELECT * FROM base WHERE {where_q})"
+        for i, (c, side) in enumerate(zip(names, box, strict=True)):
+            both = ", ".join(f"unnest([{c}, CASE WHEN {c} < {side}/2 THEN {c} + {side} ELSE {c} - {side} END]) AS {c}" if c == n else n for n in names)
+            image += f", q{i} AS (SELECT id, {both} FROM {last})"
+            last = f"q{i}"
+        q = f"{last} q"
+    most = f"least({k}, (SELECT count(*) FROM base))"
     return f"""WITH base AS ({base}){image}
-  , pairs AS (SELECT q.id AS qid, p.id AS neighbor_id, {d2} AS d2 {extra} FROM {q}, (SELECT * FROM base WHERE {where_p}) p)
+  , pairs AS (SELECT q.id AS qid, p.id AS neighbor_id, {d2} AS d2 {extra} FROM {q}, base p)
   , ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, neighbor_id) AS rank FROM pairs)
-SELECT {cols} FROM ranked WHERE rank <= {k}"""
+SELECT {cols} FROM ranked WHERE rank <= {most}"""
 
 
 _KNN = "qid, rank::INTEGER AS rank, neighbor_id, sqrt(d2) AS distance"
@@ -232,9 +261,9 @@ _X3 = ", (q.x-p.x)*(q.x-p.x) AS ax, (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z) AS
 _X2 = ", (q.x-p.x)*(q.x-p.x) AS ax, (q.y-p.y)*(q.y-p.y) AS nonax"
 _KNN3 = _knn_sql(_E3, _D3, 10, _KNN)
 _KNN2 = _knn_sql(_EV, _D2, 10, _KNN)
-_F32 = """WITH pairs AS (SELECT q.vec_id AS qid, p.vec_id AS neighbor_id,
+_F32 = f"""WITH pairs AS (SELECT q.vec_id AS qid, p.vec_id AS neighbor_id,
     list_reduce(list_transform(list_zip(q.embedding, p.embedding), lambda t: (t[1]-t[2])*(t[1]-t[2])), lambda a, x: a+x) AS d2
-  FROM (SELECT * FROM embeddings WHERE vec_id < 100) q, embeddings p)
+  FROM (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q, embeddings p)
   , ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, neighbor_id) AS rank FROM pairs)
 SELECT qid, rank::INTEGER AS rank, neighbor_id, sqrt(d2)::FLOAT AS distance FROM ranked WHERE rank <= 5"""
 
@@ -242,7 +271,7 @@ ORACLES = {
     "nn1_3d": _knn_sql(_E3, _D3, 1, "qid, neighbor_id, sqrt(d2) AS distance"),
     "nn1_3d_squared": _knn_sql(_E3, _D3, 1, "qid, neighbor_id, d2 AS distance"),
     "nn1_position": _knn_sql(_E3, _D3, 1, "qid, neighbor_id, sqrt(d2) AS distance, position_x, position_y, position_z", extra=_POS),
-    "nn1_periodic_2d": _knn_sql(_EV, _D2, 1, "qid, neighbor_id, sqrt(d2) AS distance", images=True),
+    "nn1_periodic_2d": _knn_sql(_EV, _D2, 1, "qid, neighbor_id, sqrt(d2) AS distance", box=BOX2),
     "knn_k10_3d": _KNN3,
     "knn_sql_3d": _KNN3,
     "knn_arrow_3d": _KNN3,
@@ -251,14 +280,16 @@ ORACLES = {
     "knn_kdpart_2d": _KNN2,
     "knn_f32_64d": _F32,
     "knn_blocked_64d": _F32,
-    "knn_k_gt_n": _knn_sql(_E3, _D3, 50, _KNN, where_p="id >= 100 AND id < 120"),
+    "knn_k_gt_n": _knn_sql(_NATION, _D2, 50, _KNN, "TRUE"),
     "knn_packed": _KNN3,
-    "knn_ties_2d": _knn_sql("SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part", _D2, 10, _KNN, "id >= 50", "id < 50"),
-    "knn_periodic_2d": _knn_sql(_EV, _D2, 10, _KNN, images=True),
-    "knn_periodic_k80_2d": _knn_sql(_EV, _D2, 80, _KNN, images=True),
-    "knn_periodic_large_k_images": _knn_sql(_EV, _D2, 80, _KNN, "id >= 100 AND id < 200", images=True),
+    "knn_ties_2d": _knn_sql("SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part", _D2, 10, _KNN),
+    "knn_periodic_2d": _knn_sql(_EV, _D2, 10, _KNN, box=BOX2),
+    "knn_periodic_k80_2d": _knn_sql(_EV, _D2, 80, _KNN, box=BOX2),
+    "knn_periodic_k80_3d": _knn_sql(_EV3, _D3, 80, _KNN, box=BOX3),
+    "knn_periodic_kdpart_3d": _knn_sql(_EV3, _D3, 10, _KNN, box=BOX3),
+    "knn_periodic_large_k_images": _knn_sql(_NATION, _D2, 80, _KNN, "TRUE", box=BOXN),
     "knn_axis_3d": _knn_sql(_E3, "(q.z-p.z)*(q.z-p.z) + ((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y))", 10, _AXIS, extra=_Z),
-    "knn_axis_periodic_2d": _knn_sql(_EV, _D2, 10, _AXIS, extra=_X2, images=True),
+    "knn_axis_periodic_2d": _knn_sql(_EV, _D2, 10, _AXIS, extra=_X2, box=BOX2),
     "knn_axis_with_index": _knn_sql(_E3, "(q.x-p.x)*(q.x-p.x) + ((q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z))", 10, _AXIS + ", neighbor_id", extra=_X3),
     "pairwise_sqdist": f"WITH base AS ({_E3}) SELECT q.id AS vec_id, {_D3} AS d2 FROM base q JOIN base p ON p.id = q.id + 1",
     "pairwise_sqdist_axis": f"""WITH base AS ({_E3})
