@@ -231,6 +231,27 @@ def test_npy_files_and_description(spark, tmp_path):
         from_numpy(spark, p[0])
 
 
+def test_array_columns(spark):
+    """One array column as coordinates: checked whole, its box found when asked for."""
+    rng = np.random.default_rng(31)
+    p, q = rng.random((80, 5)), rng.random((6, 5))
+    array = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, v array<double>")
+    points = PointSet(array(p, "id"), "id", "v")
+    assert np.allclose(points.lower, p.min(0)) and np.allclose(points.upper, p.max(0))
+    for box in (None, [1.0] * 5):
+        engine = KnnEngine(points) if box is None else KnnEngine(points).with_boxsize(box)
+        got = engine.query_nearest_k(array(q, "qid"), 3, squared=True).collect()
+        assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got) == brute(p, q, 3, box)
+    for wrong, error in (([1.0] * 4, "DimensionMismatch"), ([1.0] * 4 + [None], "InvalidInputData"), ([1.0] * 4 + [float("nan")], "InvalidInputData"), (None, "InvalidInputData")):
+        bad = spark.createDataFrame([(0, wrong)], "qid long, v array<double>")
+        with pytest.raises(Exception, match=error):
+            KnnEngine(points).query_nearest_k(bad, 1).collect()
+        with pytest.raises(E.DimensionMismatch if error == "DimensionMismatch" else E.InvalidInputData):
+            PointSet(array(p, "id").unionByName(bad.withColumnRenamed("qid", "id")), "id", "v")
+    with pytest.raises(E.InvalidInputData):  # too large for float
+        PointSet(spark.createDataFrame([(0, [1e300, 1.0])], "id long, v array<double>"), "id", "v", "float")
+
+
 def test_axis_query_needs_a_k(spark):
     a, b = frames(spark, np.random.default_rng(0).random((20, 2)), np.random.default_rng(1).random((5, 2)))
     engine = KnnEngine(PointSet(a, "id", ["c0", "c1"]))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from vicinity import errors as E
 from vicinity.functions.geometry import finish
 from vicinity.operators.strategies import STRATEGIES, fits_broadcast, keep_k
-from vicinity.sources.points import PointSet, bad, from_numpy, normalised
+from vicinity.sources.points import PointSet, bad, bad_array, from_numpy, normalised
 
+BAD_QUERY = "InvalidInputData: a query coordinate is null, NaN or infinite"
 #: A periodic query has 2**D images.
 MOST_PERIODIC_DIMENSIONS = 10
 
@@ -45,16 +46,18 @@ class KnnEngine:
 
     def _queries(self, df: DataFrame, id_col: str, coords) -> DataFrame:
         """(qid, c0, ...): a bad coordinate fails the job that reads it."""
+        if isinstance(coords, str):  # an array is checked as a whole
+            c, kind = F.col(coords), df.schema[coords].dataType
+            wrong = F.when(F.size(c) != self.points.dim, F.raise_error("DimensionMismatch: a query of other dimensions").cast(kind))
+            df = df.withColumn(coords, wrong.when(bad_array(c.cast(f"array<{self.points.dtype}>")), F.raise_error(BAD_QUERY).cast(kind)).otherwise(c))
         q, dim = normalised(df, id_col, coords, self.points.dtype, self.points.dim if isinstance(coords, str) else None, "qid")
-        if isinstance(coords, str):  # arrays are checked as they are read
-            wrong = F.size(coords) != self.points.dim
-            df = df.withColumn(coords, F.when(wrong | F.col(coords).isNull(), F.raise_error("DimensionMismatch: a query of other dimensions").cast(df.schema[coords].dataType)).otherwise(F.col(coords)))
-            q, dim = normalised(df, id_col, coords, self.points.dtype, self.points.dim, "qid")
         if dim != self.points.dim:
             raise E.DimensionMismatch(f"queries of {dim} dimensions, points of {self.points.dim}")
         for i in range(dim):
             c = F.col(f"c{i}")
-            guarded = F.when(bad(c), F.raise_error("InvalidInputData: a query coordinate is null, NaN or infinite").cast(self.points.dtype))
+            if isinstance(coords, str) and self.box is None:
+                continue
+            guarded = F.when(bad(c), F.raise_error(BAD_QUERY).cast(self.points.dtype))
             if self.box is not None:
                 guarded = guarded.when((c < 0) | (c > self.box[i]), F.raise_error("QueryOutsideBox: a query lies beyond the periodic box").cast(self.points.dtype))
             q = q.withColumn(f"c{i}", guarded.otherwise(c))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,11 @@ def bad(c) -> object:
     return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
 
+def bad_array(c) -> object:
+    """Whether an array of coordinates is null or holds a bad one."""
+    return c.isNull() | F.exists(c, bad)
+
+
 def normalised(df: DataFrame, id_col: str, coords: str | Sequence[str], dtype: str, dim: int | None = None, name: str = "id") -> tuple[DataFrame, int]:
     """(name, c0, c1, ...) of the given type, and the number of dimensions. coords: columns, or one array column."""
     if isinstance(coords, str):
@@ -42,18 +48,42 @@ class PointSet:
         if dtype not in ("double", "float"):
             raise InvalidInputData(f"coordinates are double or float, not {dtype}")
         self.source, self.id_col, self.coords, self.dtype = df, id_col, coords, dtype
-        self.frame, self.dim = normalised(df, id_col, coords, dtype)
-        self.cols = [f"c{i}" for i in range(self.dim)]
-        any_bad = F.lit(False)
-        for c in self.cols:
-            any_bad = any_bad | bad(F.col(c))
-        got = self.frame.agg(F.count("*"), F.count_if(any_bad), *[f(c) for c in self.cols for f in (F.min, F.max)]).first()
-        if not got[0]:
-            raise ZeroLengthInput("no points")
-        if got[1]:
-            raise InvalidInputData(f"{got[1]} points have null, NaN or infinite coordinates")
-        self.n = got[0]
-        self.lower, self.upper = list(got[2::2]), list(got[3::2])
+        self._bounds = None
+        if isinstance(coords, str):
+            c = F.col(coords)
+            n, wrong, least, most = df.agg(F.count("*"), F.count_if(bad_array(c.cast(f"array<{dtype}>"))), F.min(F.size(c)), F.max(F.size(c))).first()
+            if not n or most is None:
+                raise ZeroLengthInput("no points")
+            if least != most or least < 1:
+                raise DimensionMismatch(f"arrays of {least} to {most} elements")
+            self.frame, self.dim = normalised(df, id_col, coords, dtype, most)
+            self.cols = [f"c{i}" for i in range(self.dim)]
+        else:
+            self.frame, self.dim = normalised(df, id_col, coords, dtype)
+            self.cols = [f"c{i}" for i in range(self.dim)]
+            any_bad = reduce(lambda x, y: x | y, [bad(F.col(c)) for c in self.cols])
+            n, wrong, *bounds = self.frame.agg(F.count("*"), F.count_if(any_bad), *[f(c) for c in self.cols for f in (F.min, F.max)]).first()
+            if not n:
+                raise ZeroLengthInput("no points")
+            self._bounds = bounds[::2], bounds[1::2]
+        if wrong:
+            raise InvalidInputData(f"{wrong} points have null, NaN or infinite coordinates")
+        self.n = n
+
+    def _box(self) -> tuple[list, list]:
+        """Least and largest coordinates; those of an array column are found when asked for."""
+        if self._bounds is None:
+            found = self.source.select(F.posexplode(F.col(self.coords).cast(f"array<{self.dtype}>")).alias("i", "c")).groupBy("i").agg(F.min("c"), F.max("c")).collect()  # a row a dimension
+            self._bounds = tuple([r[k] for r in sorted(found)] for k in (1, 2))
+        return self._bounds
+
+    @property
+    def lower(self) -> list:
+        return list(self._box()[0])
+
+    @property
+    def upper(self) -> list:
+        return list(self._box()[1])
 
     def describe(self, leafsize: int = 32) -> dict:
         """Number, dimensions, bounds, and the size of the balanced tree over so many points."""
