@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.llm.components import components
-from vicinity.llm.text import MIX2, Scratch, U, by_table, flat, in_table, mix, repeat_table, row_of, shingle_hashes, steps, word_hashes
+from vicinity.llm.text import MIX2, Scratch, U, by_table, flat, in_table, mix, repeat_table, row_of, shingle_hashes, steps, tidy, word_hashes
 
 #: Documents whose shingles decide which are frequent, and the frequent ones kept; both only order shingles.
 SAMPLE_DOCS = 4096
@@ -237,6 +237,7 @@ def search_groups(percent: int, every: bool):
             if found or forest.pairs:
                 u, v = np.array(list(found) if every else forest.pairs).T
                 a, b = np.minimum(names[u], names[v]), np.maximum(names[u], names[v])
+        tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return work
@@ -267,6 +268,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, texts: DataFr
                 hashes = b.column(1).slice(i, j - i).to_pylist()
                 new = [k for k, h in enumerate(hashes) if h not in seen and not seen.add(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashes[k] for k in new], pa.int64()), pa.array([out[k].view(np.int64) for k in new], pa.list_(pa.int64()))], names=["h", "set"])
+        tidy()
 
     whole = docs.select("text", F.xxhash64("text")).mapInArrow(sets, "h long, set array<long>")
     whole = scratch.save(whole.join(ends, F.col("h") == F.col("text_hash")).groupBy("cid").agg(F.first("set").alias("set")), "wanted")
@@ -343,6 +345,7 @@ def _components_in(scratch: Scratch, docs: DataFrame, n: int, percent: int) -> D
                 if out:
                     h, c = np.unique(np.concatenate(out), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+        tidy()
 
     repeated = scratch.save(docs.select("text").mapInArrow(prefixes, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "repeated")
     table = spark.sparkContext.broadcast(repeat_table(repeated))
@@ -369,6 +372,7 @@ def _components_in(scratch: Scratch, docs: DataFrame, n: int, percent: int) -> D
                     for c, v in zip(cols[2:], (len(s), *k, signature(s).tobytes() if some else None, toks.view(np.int64) if some else None), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=names)
+        tidy()
 
     cand = scratch.save(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(candidates, f"doc_id {id_type}, text_hash long, n long, s1 long, s2 long, sig binary, toks array<long>"), "candidates")
     classes = scratch.save(cand.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), "classes", keep=True)

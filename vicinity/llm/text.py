@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import pickle
 import re
 import sys
@@ -34,6 +35,13 @@ def worker_store() -> dict:
     return mod.__dict__.setdefault("store", {})
 
 
+def tidy() -> None:
+    """Gives a worker's free memory back to the system at the end of a task, as the worker stays for others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shipped(spark: SparkSession, thing):
     """A function that gives thing on executors, once a worker; its classes travel by value, as the subpackage's functions do."""
     sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), uuid.uuid4().hex

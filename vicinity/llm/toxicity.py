@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.crf import chain_expectations, chain_marginals
-from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, row_of, shipped, steps
+from vicinity.llm.text import _LOWER, BASE, flat, letter_runs, mix, prefix_sums, range_hashes, row_of, shipped, steps, tidy
 
 #: Sizes of the word beginnings that serve as features, in bytes; 0 is the whole word.
 PREFIXES = (0, 3, 4, 5, 6, 7)
@@ -41,19 +41,27 @@ WINDOW = 16
 WINDOWS_WITH, WINDOWS_WITHOUT = 25_000, 6_000
 
 
+def _kind(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
+    h = range_hashes(s, lo, np.minimum(lo + k, hi) if k else hi, BASE) ^ np.uint64(k)
+    h[hi - lo <= k] = 0
+    return h
+
+
 def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
     """For each of PREFIXES, a hash of every token; 0 where the token is no longer than the beginning."""
     s = prefix_sums(_LOWER[data], BASE)
     for k in PREFIXES:
-        h = range_hashes(s, lo, np.minimum(lo + k, hi) if k else hi, BASE) ^ np.uint64(k)
-        h[hi - lo <= k] = 0
-        yield h
+        yield _kind(s, lo, hi, k)
 
 
-def sample_features(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """token_features of many texts, computed some at a time: the hashes' temporaries are many times the text."""
-    parts = [list(token_features(data[offs[i] : offs[j]], lo[first[i] : first[j]] - offs[i], hi[first[i] : first[j]] - offs[i])) for i, j in steps(offs)]
-    return [np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in parts)]) for k in range(len(PREFIXES))]
+def sample_features(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """token_features of many texts, one kind and some texts at a time: temporaries are many times the text."""
+    for k in PREFIXES:
+        out = np.zeros(len(lo), np.uint64)
+        for i, j in steps(offs):
+            a, z = first[i], first[j]
+            out[a:z] = _kind(prefix_sums(_LOWER[data[offs[i] : offs[j]]], BASE), lo[a:z] - offs[i], hi[a:z] - offs[i], k)
+        yield out
 
 
 class Model:
@@ -142,12 +150,12 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     data, offs = flat(pa.array(texts, pa.string()))
     lo, hi, first = letter_runs(data, offs)
     text = np.repeat(np.arange(len(y)), np.diff(first))
-    features = sample_features(data, offs, lo, hi, first)
+    features = lambda: sample_features(data, offs, lo, hi, first)
     n1 = int(y.sum())
     # documents of each feature that toxic documents hold, by label
     is_toxic = y[text] == 1
     found_h, found_t, of = [], [], text[is_toxic]
-    for h in features:
+    for h in features():
         h = h[is_toxic]
         _, at = np.unique(mix(h) ^ mix(of.astype(np.uint64)), return_index=True)
         at = at[h[at] != 0]
@@ -161,7 +169,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     df0 = np.zeros(len(key), np.int64)
     if len(key):
         seen = []
-        for h in features:
+        for h in features():
             h0, t0 = h[~is_toxic], text[~is_toxic]
             k = np.minimum(np.searchsorted(key, h0), len(key) - 1)
             ok = key[k] == h0
@@ -186,7 +194,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     model.sieve[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     model.weight = np.zeros(len(model.keys))
     # token labels, and the windows to train on
-    picked = model.pick(features)
+    picked = model.pick(features())
     has = np.zeros(len(lo), bool)
     for at, _ in picked:
         has[at] = True
@@ -251,6 +259,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
         if t:
             t = pa.Table.from_batches(t).sort_by([("doc_id", "ascending"), ("text", "ascending")])
             m = fit(t.column("text").to_pylist(), t.column("toxic").to_pylist(), prior)
+            del t
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m.__dict__)], pa.binary())], names=["model"])
 
     # one task fits on the bounded sample, in an executor's memory
@@ -305,5 +315,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
                 _, _, first, p = m.marginals(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 keep[i:j] = m.scores(first, p) < threshold
             yield batch.filter(pa.array(keep))
+        tidy()
 
     return rows.mapInArrow(work, rows.schema).select(*[F.col("row")[c].alias(c) for c in docs.columns])
