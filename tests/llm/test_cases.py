@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_ops import SF, awkward, brute_components, documents, sentence
@@ -79,6 +80,30 @@ def test_chat_results_come_after_calls_and_names_clash(spark):
     assert len(out) == len(rows) and sum(r["json"] == f'{{"content":"{long}","role":"user"}}' for r in out) == 1
 
 
+# 3 nearest neighbours
+
+
+@pytest.mark.parametrize(("n", "kind"), [(30, "even"), (3000, "even"), (3000, "clustered"), (25_000, "even")])
+def test_forest_reaches_its_recall_at_any_size(spark, n, kind):
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 24)).astype(np.float32)
+    if kind == "clustered":
+        v = (rng.standard_normal((20, 24))[rng.integers(0, 20, n)] + 0.05 * v).astype(np.float32)
+    v[n // 2 : n // 2 + n // 20] = v[0]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(v), pa.list_(pa.float32()))}))
+    every = max(1, n // 60)
+    got = ann.nearest(df, every=every, k=10, recall=0.96).toPandas().sort_values(["query_id", "rank"])
+    asked = np.arange(0, n, every)
+    assert (got.groupby("query_id").size() == min(10, n - 1)).all() and got["query_id"].nunique() == len(asked)
+    x, hit = v.astype(float), 0
+    for q, rows in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(n), d)).tolist() if i != q][:10]
+        assert np.allclose(d[rows["vec_id"]], rows["score"], rtol=0, atol=1e-12) and rows["score"].is_monotonic_increasing
+        hit += len(set(want) & set(rows["vec_id"]))
+    assert hit >= 0.9 * min(10, n - 1) * len(asked)
+
+
 # 4 licenses
 
 
@@ -117,6 +142,15 @@ def test_matrices_sum_over_many_partitions(spark):
     assert got[:9, 0].tolist() == [sum(k in p for p in passages) for k in range(9)]
 
 
+def test_singular_vectors_of_one_pass():
+    rng = np.random.default_rng(4)
+    u, v = np.linalg.qr(rng.standard_normal((300, 40)))[0], np.linalg.qr(rng.standard_normal((50, 40)))[0]
+    a = (u * 0.5 ** np.arange(40)) @ v.T
+    start = np.linalg.qr(rng.standard_normal((50, 24)))[0]
+    got = decontam.singular_vectors(start, a.T @ (a @ start), 8)
+    assert np.allclose(got.T @ got, np.eye(8)) and np.abs(np.abs((got * v[:, :8]).sum(0)) - 1).max() < 1e-4
+
+
 # 7 Jaccard join
 
 
@@ -187,7 +221,7 @@ def test_toxicity_of_many_equal_windows_is_bounded(monkeypatch):
     r = random.Random(2)
     texts = [sentence(r, 60) + (" blargo" * 40 if i % 3 == 0 else "") for i in range(90)]
     model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(90)])
-    data, offs = text.flat(__import__("pyarrow").array(texts))
+    data, offs = text.flat(pa.array(texts))
     _, _, first, p = model.marginals(data, offs)
     assert ((model.scores(first, p) >= 0.5) == [i % 3 == 0 for i in range(90)]).all()
 

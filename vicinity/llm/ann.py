@@ -45,6 +45,9 @@ TREES = 16
 CALIBRATE, MARGIN = 64, 1.1
 #: Vectors that a query's leaves hold in sum, over all trees, copies included, before an exact search takes its bound.
 SEARCH = 28_000
+#: The distance of a query's BOUND_RANK * (k + 1)th neighbour among so many vectors of the sample bounds what its leaves pass on;
+#: a query that gets too few so is searched exactly.
+BOUND_SAMPLE, BOUND_RANK = 20_000, 3
 #: Vectors a leaf holds on average.
 LEAF = 128
 #: Query vectors ranked against a leaf at a time.
@@ -245,29 +248,47 @@ def _nearest(scratch: Scratch, df: DataFrame, id_col: str, vec_col: str, every:
         needs.sort()
         search = int(MARGIN * needs[min(len(needs) - 1, int(len(needs) * recall))]) + 1 if needs else trees * n
 
+    some_points = spark.sparkContext.broadcast(sample[:BOUND_SAMPLE])
+
     def route(batches):
+        """The leaves of each query, and a bound of what they pass on."""
+        near, nth = some_points.value, BOUND_RANK * (k + 1)
         for b in batches:
-            for i, q in zip(b.column(0), _matrix(b.column(1)) if len(b) else [], strict=True):
-                got = sent().visit(q, counts.value, search)
+            q = _matrix(b.column(1)) if len(b) else []
+            bound = np.full(len(q), np.inf)
+            if len(q) and len(near) > nth:
+                x, _, score = rows_of(q, near, nth)
+                order = np.lexsort((score, x))
+                bound = score[order][np.searchsorted(x[order], np.arange(len(q))) + nth - 1] * (1 + 1e-12)
+            for i, v, far in zip(b.column(0), q, bound.tolist(), strict=True):
+                got = sent().visit(v, counts.value, search)
                 m = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64()), pa.array([i.as_py()] * m, pa.int64())], names=["tree", "leaf", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64()), pa.array([i.as_py()] * m, pa.int64()), pa.array([far] * m)], names=["tree", "leaf", "q", "bound"])
 
     spread = max(8, spark.sparkContext.defaultParallelism)
-    routed = scratch.save(queries.repartition(spread, "q").mapInArrow(route, "tree int, leaf long, q long"), "routed")
-    ask = routed.join(queries, "q").select("tree", "leaf", "q", "v")
+    routed = scratch.save(queries.repartition(spread, "q").mapInArrow(route, "tree int, leaf long, q long, bound double"), "routed")
+    ask = routed.join(queries, "q").select("tree", "leaf", "q", "bound", "v")
 
     def rank(of, to):
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if of.num_rows and to.num_rows:
             reps, asked = of.column("rep").to_numpy(), to.column("q").to_numpy()
             x, y, score = rows_of(_matrix(to.column("v")), _matrix(of.column("v")), k + 1)
-            out = [asked[x], reps[y], score]
+            ok = score <= to.column("bound").to_numpy()[x]
+            out = [asked[x[ok]], reps[y[ok]], score[ok]]
         return pa.table({"q": pa.array(out[0]), "rep": pa.array(out[1]), "score": pa.array(out[2])})
 
     near = file(True).groupBy("tree", "leaf").cogroup(ask.groupBy("tree", "leaf")).applyInArrow(rank, "q long, rep long, score double").distinct()
     near = near.withColumn("r", F.row_number().over(best))
     if recall is not None:
         near = scratch.save(near.where(F.col("r") <= k + 1).select("q", "rep", "score"), "near", keep=True)
+        got = near.groupBy("q").count().where(F.col("count") >= min(k + 1, n)).select("q")
+        short = scratch.save(queries.join(got, "q", "left_anti").withColumn("bound", open_bound), "short", keep=True)
+        blocks = -(-short.count() // SCAN_QUERIES)
+        for block in range(blocks):
+            more = scan(short.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block), points, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+            near = near if block else near.join(short.select("q"), "q", "left_anti")
+            near = near.unionByName(scratch.save(more.select("q", "rep", "score"), "more", keep=True))
     else:
         seen = near.where(F.col("r") == k + 1).select("q", F.col("score").alias("bound"))
         bounded = scratch.save(queries.join(seen, "q", "left").withColumn("bound", F.coalesce("bound", open_bound)), "bounds")
