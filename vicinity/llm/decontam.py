@@ -5,9 +5,9 @@
    a quarter of their size apart, in sizes that grow by half, so an item lies
    whole in a window of about twice its length at most (or of WINDOW words).
 2. Document frequencies over all passages give the weights of a TF-IDF matrix
-   of passages and vocabulary; a distributed randomised SVD (subspace
-   iteration with random start, each pass a sum over all passages in a tree)
-   gives the latent space.
+   of passages and vocabulary; a distributed randomised SVD (a random start,
+   its product with the Gram matrix as a sum over all passages in a tree, the
+   vectors from both by Nyström's formula) gives the latent space.
 3. A passage and an item are candidates if their cosine reaches a threshold,
    in the latent space or in what is left of it without its leading
    directions. No
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.text import _LOWER, BASE, Scratch, flat, letter_runs, prefix_sums, range_hashes, shipped, steps
+from vicinity.llm.text import _LOWER, BASE, Scratch, flat, letter_runs, prefix_sums, range_hashes, shipped, steps, tidy
 
 #: Items of one space; each block of so many has its own vocabulary and space.
 ITEM_BLOCK = 500_000
@@ -131,6 +131,7 @@ def _sum_matrices(enc: DataFrame, fn, shape: tuple[int, int]) -> np.ndarray:
         out = np.zeros(shape)
         for _, ids, first in _batches(batches, 0):
             out += fn(ids, first)
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["g", "m"])
 
     def add(key, t):
@@ -168,36 +169,44 @@ def frequencies(ids: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gram_product(ids: np.ndarray, first: np.ndarray, scaled: np.ndarray, idf: np.ndarray, small: bool) -> np.ndarray:
-    """The share of these passages in A'(A X), or in (A X)'(A X) if small; scaled: idf times X."""
+def gram_product(ids: np.ndarray, first: np.ndarray, scaled: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The share of these passages in A'(A X); scaled: idf times X."""
+    out = np.zeros(scaled.shape)
     w, p = _statistics_windows(ids, first)
     if not len(w):
-        return np.zeros((scaled.shape[1] if small else scaled.shape[0], scaled.shape[1]))
+        return out
     start = np.flatnonzero(np.concatenate([[True], np.diff(p) != 0]))
     y = np.add.reduceat(scaled[w], start, axis=0)
-    if small:
-        return (y.T @ y).astype(float)
     of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
     by = np.argsort(w, kind="stable")
     cut = np.flatnonzero(np.concatenate([[True], np.diff(w[by]) != 0]))
-    out = np.zeros(scaled.shape)
     out[w[by][cut]] = np.add.reduceat(y[of[by]], cut, axis=0) * idf[w[by][cut]][:, None]
     return out
 
 
-def fit_space(enc: DataFrame, space: Space, rank: int = RANK, power: int = 1, seed: int = 5) -> None:
+def singular_vectors(start: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of A from A'A times an orthonormal start (Nyström), in one pass over A."""
+    shift = 1e-7 * np.linalg.norm(product)
+    shifted = product + shift * start
+    core = start.T @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > 1e-9 * max(values.max(initial=0.0), 1e-30)
+    factor = shifted @ (vectors[:, keep] / np.sqrt(values[keep]))
+    return np.linalg.svd(factor, full_matrices=False)[0][:, :rank]
+
+
+def fit_space(enc: DataFrame, space: Space, rank: int = RANK, passes: int = 1, seed: int = 5) -> None:
     """Weights and latent basis from all passages."""
     n = len(space.vocab)
     df = _sum_matrices(enc, lambda i, f: frequencies(i, f, n), (n + 1, 1))[:, 0]
     space.idf = idf = np.log((1 + df[n]) / (1 + df[:n])) + 0.1
     wide = min(n, rank + OVER)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
-    for _ in range(power):
-        scaled = (idf[:, None] * q).astype(np.float32)
-        q = np.linalg.qr(_sum_matrices(enc, lambda i, f, x=scaled: gram_product(i, f, x, idf, False), (n, wide)))[0]
-    scaled = (idf[:, None] * q).astype(np.float32)
-    values, vectors = np.linalg.eigh(_sum_matrices(enc, lambda i, f: gram_product(i, f, scaled, idf, True), (wide, wide)))
-    space.basis = q @ vectors[:, np.argsort(-values)[:rank]]
+    start = product = np.random.default_rng(seed).standard_normal((n, wide))
+    for _ in range(passes):  # subspace iteration
+        start = np.linalg.qr(product)[0]
+        scaled = (idf[:, None] * start).astype(np.float32)
+        product = _sum_matrices(enc, lambda i, f, x=scaled: gram_product(i, f, x, idf), (n, wide))
+    space.basis = singular_vectors(start, product, rank)
     space.common = min(COMMON, n // 32)
 
 
@@ -327,6 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
                         raw = lookup(*sent.value, h).tobytes()
                         at = (4 * first).tolist()
                         yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in range(len(keys))] + [pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=[*keys, "words"])
+                tidy()
 
             enc = scratch.save(docs.select(*keys, F.col("text").cast("string")).mapInArrow(encode, f"{head}, words binary"), "words")
             fit_space(enc, space)
@@ -338,6 +348,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("
                     if found:
                         at = pa.array([x[0] for x in found])
                         yield pa.RecordBatch.from_arrays([c.take(at) for c in cols] + [pa.array(v) for v in list(zip(*found, strict=True))[1:]], names=[*keys, "item_id", "cosine", "lcs_share", "answer_share"])
+                tidy()
 
             hits = scratch.save(enc.mapInArrow(look, f"{head}, item_id {item_type}, cosine double, lcs_share double, answer_share double"), "leaks", keep=True)
             scratch.drop(enc)
