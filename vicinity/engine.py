@@ -74,6 +74,8 @@ class KnnEngine:
             raise E.InvalidK("k is 1 at least")
         queries = self._queries(df, id_col, self.points.coords if coords is None else coords)
         pairs = self._plan()(self.points, queries, k, self.box, axis)
+        if "rank" in pairs.columns:
+            return pairs
         # a periodic join ranks (point, image) pairs: an id can repeat, and min(k, n) pairs are kept
         return keep_k(pairs, min(k, self.points.n))
 

@@ -188,12 +188,17 @@ class LocalTree:
 
 
 def neighbours(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int, axis: int | None = None, box: list[float] | None = None, tree: LocalTree | None = None):
-    """Rows (query index, id, d2, axis part, other part): the k least by (d2, id) of each query, over its images too if there is a box."""
+    """Rows (query index, id, d2, axis part, other part): the min(k, n) least by (d2, id) of each query, over its images too if there is a box, in order."""
     images = image_shifts(q, box)[1:] if box is not None else []
     if len(q) and len(p) > 4 * LEAF_POINTS and p.shape[1] <= TREE_DIMENSIONS:
         return (tree or LocalTree(p, ids, k)).query(q, axis, images)
-    out = [top_k(x, p, ids, k, axis) for x in [q, *images]]
-    return tuple(np.concatenate(c) if c[0] is not None else None for c in zip(*[(i, ids[y], *d) for i, y, *d in out], strict=True))
+    rows = [(i, ids[y], *d) for i, y, *d in (top_k(x, p, ids, k, axis) for x in [q, *images])]
+    if not images:
+        return rows[0]
+    x, nid, *d = (np.concatenate(c) if c[0] is not None else None for c in zip(*rows, strict=True))
+    by = np.lexsort((nid, d[0], x))
+    by = by[np.arange(len(by)) - np.searchsorted(x[by], x[by]) < min(k, len(p))]
+    return x[by], nid[by], *(c[by] if c is not None else None for c in d)
 
 
 def coordinates(table, dim: int, dtype: str) -> np.ndarray:

@@ -1,4 +1,7 @@
-"""Physical strategies. All are exact and give (qid, nid, d2[, ax, nonax]): at least the k least of each query by (d2, nid)."""
+"""Physical strategies. All are exact and give (qid, nid, d2[, ax, nonax]): at least the k least of each query by (d2, nid).
+
+One that gives rank too has exactly those.
+"""
 
 from __future__ import annotations
 
@@ -73,7 +76,10 @@ def sql(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
 
 
 def arrow(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
-    """Each task ranks its queries against broadcast points, by a tree or in few points or many dimensions one by one; beyond the bound, kd cells."""
+    """Each task ranks its queries against broadcast points, by a tree or in few points or many dimensions one by one; beyond the bound, kd cells.
+
+    No row moves: all images of a query are ranked where it is.
+    """
     if not fits_broadcast(points):
         return kdpart(points, queries, k, box, axis)
     table = points.frame.orderBy("id").toArrow()  # within BROADCAST_BYTES
@@ -90,10 +96,11 @@ def arrow(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
             tree = store["tree"]
         for b in batches:
             at, nid, *d = neighbours(coordinates(b, dim, dtype), p, ids, k, axis, box, tree)
-            yield pa.RecordBatch.from_pydict(as_arrow(np.asarray(b.column(0))[at], nid, *d))
+            place = np.arange(len(at)) - np.searchsorted(at, at) + 1
+            yield pa.RecordBatch.from_pydict(as_arrow(np.asarray(b.column(0))[at], nid, *d) | {"rank": pa.array(place.astype(np.int32))})
 
     kind = queries.schema["qid"].dataType.simpleString()
-    return queries.mapInArrow(work, _schema(points, axis).format(q=kind))
+    return queries.mapInArrow(work, _schema(points, axis).format(q=kind) + ", rank int")
 
 
 def blocked(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
@@ -136,8 +143,9 @@ def blocked(points, queries: DataFrame, k: int, box, axis) -> DataFrame:
 def grid(points, queries: DataFrame, k: int, box, axis, side: float | None = None) -> DataFrame:
     """Equal cells, all in the JVM: a query meets the 3**D cells around its own, and is done if its kth neighbour is nearer than a cell's side.
 
-    Queries that aren't, and data with cells of more than GRID_POINTS points, go to kd cells. For few dimensions and even data.
+    Queries that aren't, and data with cells of more than GRID_POINTS points, go to broadcast points or kd cells. For few dimensions and even data.
     """
+    rest = arrow if fits_broadcast(points) else kdpart
     dim, cols = points.dim, points.cols
     span = [max(float(u) - float(lo), 1e-300) for lo, u in zip(points.lower, points.upper, strict=True)]
     h = side or max(max(span) * 1e-6, float(np.prod(span) * 2 * k / points.n) ** (1 / dim))
@@ -146,7 +154,7 @@ def grid(points, queries: DataFrame, k: int, box, axis, side: float | None = Non
     names = [f"g{i}" for i in range(dim)]
     p = points.frame.withColumnsRenamed({"id": "nid"}).withColumns({names[i]: cell(c, i) for i, c in enumerate(cols)})
     if (p.groupBy(*names).count().agg(F.max("count")).first()[0] or 0) > GRID_POINTS:
-        return kdpart(points, queries, k, box, axis)
+        return rest(points, queries, k, box, axis)
     todo = queries.withColumn("image", F.lit(0))
     for i, c in enumerate(cols if box is not None else []):  # images, numbered by the dimensions that are shifted
         moved = F.struct(G.shifted(F.col(c), box[i]).cast(queries.schema[c].dataType).alias("c"), (F.col("image") + 2**i).alias("image"))
@@ -160,7 +168,7 @@ def grid(points, queries: DataFrame, k: int, box, axis, side: float | None = Non
     sure = near.where(F.col("rank") == min(k, points.n)).where(F.sqrt("d2") < h * (1 - 1e-9)).select("qid", "image")
     done = near.join(sure, ["qid", "image"], "left_semi").drop("image", "rank")
     left = todo.join(sure, ["qid", "image"], "left_anti").drop("image")
-    return done.unionByName(kdpart(points, left, k, None, axis))
+    return done.unionByName(rest(points, left, k, None, axis).drop("rank"))
 
 
 class Cells:
