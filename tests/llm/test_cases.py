@@ -1,10 +1,14 @@
 """Hard cases of the training-data operators: clashing names, hot groups, broken pages, written tables that go, gradients."""
 
+import contextlib
 import itertools
+import json
 import os
 import random
+import re
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,6 +84,56 @@ def test_chat_results_come_after_calls_and_names_clash(spark):
     assert len(out) == len(rows) and sum(r["json"] == f'{{"content":"{long}","role":"user"}}' for r in out) == 1
 
 
+def plain_links(rows):
+    """What link_calls gives: the first call of each identifier, its first result from its turn on, Kahn levels, validity."""
+    tools = {}
+    for name, parameter, kind, required in queries.TOOLS:
+        tools.setdefault(name, {})[parameter] = (kind, required)
+    calls, results = {}, {}
+    for conv, turn, _, body in sorted(rows, key=lambda r: (r[0], r[1])):
+        for place, j in enumerate(re.findall(r"(?s)<tool_call>(.*?)</tool_call>", body)):
+            with contextlib.suppress(ValueError):
+                c = json.loads(j)
+                calls.setdefault((conv, c["id"]), (turn, place, c))
+        for j in re.findall(r"(?s)<tool_result>(.*?)</tool_result>", body):
+            r = json.loads(j)
+            results.setdefault((conv, r["id"]), []).append((turn, r["content"]))
+    needs = {k: {(k[0], x) for x in re.findall(r"\$ref:([A-Za-z0-9_.\-]+)", json.dumps(c["arguments"])) if (k[0], x) in calls} for k, (_, _, c) in calls.items()}
+    levels, level = {}, 0
+    while ready := [k for k in calls if k not in levels and needs[k] <= levels.keys()]:
+        levels |= dict.fromkeys(ready, level)
+        level += 1
+    kinds = {"string": str, "integer": int, "number": (int, float)}
+    out = {}
+    for k, (turn, place, c) in calls.items():
+        a, schema = c["arguments"], tools.get(c["name"])
+        fine = schema is not None and a.keys() <= schema.keys() and all(isinstance(a[p], kinds[t]) if p in a else not need for p, (t, need) in schema.items())
+        answer = next(((t, x) for t, x in results.get(k, []) if t >= turn), (None, None))
+        out[k] = (c["name"], json.dumps(a, sort_keys=True, separators=(",", ":")), turn, place, levels.get(k, -1), "unknown" if schema is None else "valid" if fine else "invalid", *answer)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chat_links_equal_plain_python(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for conv in range(40):
+        for turn in range(r.randint(1, 9)):
+            body = "text "
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                a = {r.choice(["query", "limit", "id", "code", "timeout"]): r.choice([3, "x", f"$ref:c{r.randint(0, 6)}", f"a $ref:c{r.randint(0, 6)} $ref:c{r.randint(0, 6)}"]) for _ in range(r.randint(0, 2))}
+                call = json.dumps({"id": f"c{r.randint(0, 6)}", "name": r.choice(["search", "lookup", "run", "none"]), "arguments": a})
+                body += f"<tool_call>{call if r.random() < 0.9 else '{broken'}</tool_call>"
+            for _ in range(r.choice([0, 0, 1, 2])):
+                body += f"<tool_result>{json.dumps({'id': f'c{r.randint(0, 6)}', 'content': f'r{r.random()}'})}</tool_result>"
+            rows += [(conv, turn, r.choice(["assistant", "tool"]), body)] * r.choice([1, 1, 1, 2])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.link_calls(df, spark.createDataFrame(queries.TOOLS, chat.SCHEMA_ROWS)).collect()
+    mine = {(x["conv_id"], x["id"]): (x["name"], x["arguments"], x["call_turn"], x["place"], x["level"], x["validity"], x["result_turn"], x["content"]) for x in got}
+    want = plain_links(rows)
+    assert len(got) == len(mine) and mine == want and {-1, 0, 1} <= {x[4] for x in want.values()}
+
+
 # 3 nearest neighbours
 
 
@@ -275,6 +329,18 @@ def test_pages_written_by_hand():
     assert right / found >= 0.85 and right / given >= 0.85
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(want, key=str) and want
+
+
 # pipeline stages
 
 

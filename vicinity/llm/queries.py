@@ -71,11 +71,36 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 200, digest=True)
 
 
+#: The same by all 200-byte strings (as hexadecimal digits), their hashes counted.
+OP6_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+  p AS (SELECT r, unnest(range(0, n - 199)) AS a FROM d),
+  g AS (SELECT p.r, p.a, hash(substr(d.x, 2 * p.a + 1, 400)) AS h FROM p JOIN d USING (r)),
+  again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+  cover AS (SELECT r, a, CASE WHEN a <= lag(a) OVER (PARTITION BY r ORDER BY a) + 200 THEN 0 ELSE 1 END AS new FROM g SEMI JOIN again USING (h)),
+  runs AS (SELECT r, min(a) AS a, max(a) + 200 AS z FROM (SELECT r, a, sum(new) OVER (PARTITION BY r ORDER BY a) AS run FROM cover) GROUP BY r, run),
+  gone AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+  edges AS (SELECT r, z AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS z FROM (SELECT r, a, z FROM runs UNION ALL SELECT r, -1, 0 FROM d)),
+  rest AS (SELECT e.r, string_agg(substr(d.x, 2 * e.a + 1, 2 * (coalesce(e.z, d.n) - e.a)), '' ORDER BY e.a) AS x FROM edges e JOIN d USING (r) GROUP BY e.r)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(rest.x)) AS kept_sha256 FROM d JOIN rest USING (r) LEFT JOIN gone USING (r)"""
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles reach a Jaccard similarity of 0.85."""
     return jaccard.shingle_components(_table(spark, sf_dir, "documents"), 4, 85)
 
 
+#: The same by all pairs of documents that share a shingle, and their transitive closure.
+OP7_SQL = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS h FROM w),
+  e AS (SELECT r, len(h) AS n, unnest(h) AS g FROM s),
+  pairs AS (SELECT a.r AS x, b.r AS y, any_value(a.n + b.n) AS n, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+  links AS (SELECT x, y FROM pairs WHERE 100 * m >= 85 * (n - m)),
+  near AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT r AS x, r AS y FROM s UNION SELECT a.x, b.y FROM reach a JOIN near b ON a.y = b.x),
+  least AS (SELECT a.x AS r, min(s.doc_id) AS component_id FROM reach a JOIN s ON s.r = a.y GROUP BY a.x)
+SELECT doc_id, len(h)::BIGINT AS n_shingles, component_id FROM s JOIN least USING (r)"""
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes from each: weights 3, 1, 2, 150% of all words, twice each at most."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -106,4 +131,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_license_scan": _op4_sql()}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_license_scan": _op4_sql(), "op6_suffix_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
