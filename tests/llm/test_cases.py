@@ -1,12 +1,14 @@
 """Hard cases of the training-data operators: clashing names, hot groups, broken pages, written tables that go, gradients."""
 
 import contextlib
+import hashlib
 import itertools
 import json
 import os
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -428,6 +430,28 @@ def test_very_long_texts(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in decontam.find_leaks(documents(spark, texts), bench, cosine=decontam.COSINE).collect()) == [1, 2, 3]
 
 
+def test_spans_of_a_long_text_come_from_all_its_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "steps", lambda offs, steps=text.steps: steps(offs, 1000))
+    monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 3)
+    r = random.Random(8)
+    passages = [sentence(r, 120) for _ in range(6)]
+    long, other = (" # ".join(x for p in ps for x in (sentence(r, 600), f"{c}{p}{c}")) for ps, c in ((passages, "<"), (passages[::-1], ">")))
+    texts = [(i, f"{i}{p}{i}") for i, p in enumerate(passages)] + [(6, long), (7, other), (8, sentence(r, 3000)), (9, None)]
+    texts += [(10, texts[8][1])] * 2
+    count = Counter(b[a : a + 200] for _, t in texts for b in [(t or "").encode()] for a in range(len(b) - 199))
+    want = []
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for a in range(len(b) - 199):
+            if count[b[a : a + 200]] > 1:
+                gone[a : a + 200] = b"\1" * 200
+        want.append((i, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()))
+    got = suffix_dedup.remove_repeats(documents(spark, texts), 200, digest=True)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_least_vector_of_a_repeated_id(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0])]
     for order in (rows, rows[::-1]):

@@ -230,7 +230,7 @@ def repeated_alignments(right_len, right_shared, lefts, count, min_len: int) ->
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, min_len: int = 200) -> DataFrame:
-    """t1, t2 and spans (array of from, to in bytes) of the texts with repeated strings. texts has text, its keys t1 and t2, and a row's own key r."""
+    """t1, t2 and spans (array of from, to in bytes, in no order; they may overlap) of the texts with repeated strings. texts has text, its keys t1 and t2, and a row's own key r."""
     spark = texts.sparkSession
     texts = texts.where(F.octet_length("text") >= min_len)
     copies = scratch.save(texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("r").alias("r"), F.min(F.octet_length("text")).alias("size")), "copies")
@@ -386,7 +386,8 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_len: int = 200) -> Da
     spans = spans.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "spans")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("z")))
     every = spans.unionByName(copies.where("n > 1").select("t1", "t2", whole.alias("spans")))
-    out = scratch.save(every.groupBy("t1", "t2").agg(F.max_by("spans", F.struct(F.size("spans") == 1, F.col("spans")[0]["z"])).alias("spans")), "spans", keep=True)
+    # a long text has spans of several runs; equal ones, of rows with equal texts, count once
+    out = scratch.save(every.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans", keep=True)
     scratch.drop(runs, copies)
     return out
 
