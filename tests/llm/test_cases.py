@@ -432,7 +432,6 @@ def test_very_long_texts(spark, monkeypatch):
 
 def test_spans_of_a_long_text_come_from_all_its_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1000)
-    monkeypatch.setattr(suffix_dedup, "steps", lambda offs, steps=text.steps: steps(offs, 1000))
     monkeypatch.setattr(suffix_dedup, "RUN_ENTRIES", 3)
     r = random.Random(8)
     passages = [sentence(r, 120) for _ in range(6)]
@@ -452,6 +451,16 @@ def test_spans_of_a_long_text_come_from_all_its_runs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_steps_of_suffixes_are_small_and_hold_every_string():
+    offs = np.cumsum([0, 3_000_000, 10, *[5000] * 400, 200, 70_000])
+    starts = []
+    for i, j, x, z in suffix_dedup.stretches(offs, 200):
+        assert z - x <= 1 << 18
+        at = np.clip(offs[i : j + 1], x, z)
+        starts += [a for f, t in itertools.pairwise(at.tolist()) for a in range(f, t - 199)]
+    assert starts == [a for f, t in itertools.pairwise(offs.tolist()) for a in range(f, t - 199)]
+
+
 def test_least_vector_of_a_repeated_id(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0])]
     for order in (rows, rows[::-1]):

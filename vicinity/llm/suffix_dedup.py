@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from vicinity.llm.text import BASE, STEP_BYTES, Scratch, by_table, flat, in_table, mix, powers, prefix_sums, range_hashes, repeat_table, row_of, steps, tidy
+from vicinity.llm.text import BASE, MIX1, Scratch, by_table, flat, in_table, powers, prefix_sums, range_hashes, repeat_table, row_of, steps, tidy
 
 #: Bytes of a suffix that choose its range, at most a k-gram: suffixes that share one must meet.
 HEAD = 48
@@ -53,6 +53,9 @@ RANGE_ENTRIES = 40_000
 MOST_RANGES = 1 << 18
 #: Sampled heads a range from which the borders are drawn.
 HEADS_EACH = 4
+#: Bytes that one vectorised step works on, so few that its temporaries stay in a core's cache; and of the steps whose grams are counted at once.
+STEP_BYTES = 1 << 16
+COUNT_BYTES = 1 << 20
 _POS = (1 << 28) - 1
 
 
@@ -74,24 +77,25 @@ def anchors(data: np.ndarray, offs: np.ndarray, min_len: int, use: np.ndarray):
     if not ok.any():
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     s = prefix_sums(data, BASE)
-    h = mix((s[k:] - s[:-k]) * powers(BASE, n + 1)[1][: n - k + 1])
-    key = (h & ~np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
+    key = s[k:] - s[:-k]
+    key *= powers(BASE, n + 1)[1][: n - k + 1]
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(MIX1)
+    key &= ~np.uint64(_POS)
     m = len(key)
-    rows = -(-m // w)
-    block = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    block[:m] = key
-    block = block.reshape(rows, w)
-    fore = np.minimum.accumulate(block, axis=1).reshape(-1)
-    back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(back[: m - w + 1], fore[w - 1 : m])  # of every string start
+    key |= np.arange(m, dtype=np.uint64)
+    least, have = key, 1  # of every have k-grams in a row, in the end of every string start
+    while 2 * have <= w:
+        least, have = np.minimum(least[:-have], least[have:]), 2 * have
+    least = np.minimum(least[: m - w + 1], least[w - have :])
     edge = np.zeros(n + 1, np.int8)
     edge[offs[:-1][ok]] += 1
     edge[offs[:-1][ok] + lens[ok] - min_len + 1] -= 1
-    a = np.flatnonzero(np.cumsum(edge[: n - min_len + 1]))
-    owner = (least[a] & np.uint64(_POS)).astype(np.int64)
-    cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(a) != 1)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]]) - 1
-    p, lo, hi = owner[first], a[first], a[last]
+    start = np.cumsum(edge[: n - min_len + 1], dtype=np.int8).view(bool)  # whether a string starts there
+    cut = np.ones(len(start) + 1, bool)
+    cut[1:-1] = (least[1:] != least[:-1]) | (edge[1 : len(start)] != 0)
+    lo, hi = np.flatnonzero(start & cut[:-1]), np.flatnonzero(start & cut[1:])
+    p = (least[lo] & np.uint64(_POS)).astype(np.int64)
     text = np.searchsorted(offs, lo, side="right") - 1
     half = (w - 1) // 2
     late, early = hi >= p - half, lo <= p - half
@@ -103,7 +107,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, min_len: int, use: np.ndarray):
 
 def stretches(offs: np.ndarray, min_len: int) -> Iterator[tuple[int, int, int, int]]:
     """First text, last text plus one, first byte and last byte plus one of each step; a longer text comes in stretches that hold every string once."""
-    for i, j in steps(offs):
+    for i, j in steps(offs, STEP_BYTES):
         n = int(offs[j] - offs[i])
         if j > i + 1 or n <= 2 * STEP_BYTES:
             yield i, j, int(offs[i]), int(offs[j])
@@ -241,17 +245,30 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_len: int = 200) -> Da
         return in_table(standing.value, b.column(3).to_numpy().view(np.uint64))
 
     def count_grams(batches):
+        size = min(HEAD, gram_size(min_len))
+
+        def counted(data, places, grams):
+            kg, at, n = np.unique(np.concatenate(grams), return_index=True, return_counts=True)
+            at = np.concatenate(places)[at]
+            head = [None] * len(kg)
+            for i in np.flatnonzero(kg & np.uint64(63) == 0).tolist():
+                head[i] = data[at[i] : at[i] + size].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(kg.view(np.int64)), pa.array(n), pa.array(head, pa.binary())], names=["kg", "n", "head"])
+
         for b in batches:
             data, offs = flat(b.column(0))
             use = stands(b)
+            places, grams, since = [], [], 0
             for i, j, x, z in stretches(offs, min_len):
-                d = data[x:z]
-                p, _, _, _, right, left = anchors(d, np.clip(offs[i : j + 1], x, z) - x, min_len, use[i:j])
-                p, kg = np.concatenate([p[right != 0], p[left != 0]]), np.concatenate([right[right != 0], left[left != 0]])
-                kg, at, n = np.unique(kg, return_index=True, return_counts=True)
-                raw, size = d.tobytes(), min(HEAD, gram_size(min_len))
-                head = [raw[p[x] : p[x] + size] if g & 63 == 0 else None for g, x in zip(kg.tolist(), at.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(kg.view(np.int64)), pa.array(n), pa.array(head, pa.binary())], names=["kg", "n", "head"])
+                p, _, _, _, right, left = anchors(data[x:z], np.clip(offs[i : j + 1], x, z) - x, min_len, use[i:j])
+                for kg in (right, left):
+                    places.append(p[kg != 0] + x)
+                    grams.append(kg[kg != 0])
+                if z - since >= COUNT_BYTES:
+                    yield counted(data, places, grams)
+                    places, grams, since = [], [], z
+            if grams:
+                yield counted(data, places, grams)
         tidy()
 
     texts = texts.select("text", "t1", "t2", "r")
