@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -437,6 +438,29 @@ def test_toxicity_held_out(spark):
     assert {x["score"] for x in toxicity.score_documents(docs, toxicity.fit_on_labels(docs, lab.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_fit_holds_a_few_texts_at_a_time(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = lambda n, toxic: " ".join([*r.choices(words, k=n), *["grobian"] * toxic, *r.choices(words, k=9)])
+    labels = [i % 3 == 0 for i in range(1200)]
+    texts = [text(1100, x) for x in labels]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    toxicity.fit(texts, [int(x) for x in labels])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * size, (peak, size)
+    # where texts are cut into parts changes nothing
+    texts = [None, "", " - ", *[text(r.randint(0, 60), x) for x in labels[:200]], "", "one"]
+    labels = [0, 1, 0, *map(int, labels[:200]), 0, 1]
+    whole = toxicity.fit(texts, labels)
+    monkeypatch.setattr(toxicity, "steps", lambda offs, steps=toxicity.steps: steps(offs, 300))
+    parts = toxicity.fit(texts, labels)
+    assert len(whole.keys) and (whole.keys == parts.keys).all()
+    for name in ("weight", "trans", "curve", "bias", "near"):
+        assert np.allclose(getattr(whole, name), getattr(parts, name), rtol=1e-6, atol=1e-9), name
+
+
 # 10 HTML
 
 

@@ -54,14 +54,24 @@ def token_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator
         yield _kind(s, lo, hi, k)
 
 
-def sample_features(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
-    """token_features of many texts, one kind and some texts at a time: temporaries are many times the text."""
-    for k in PREFIXES:
-        out = np.zeros(len(lo), np.uint64)
-        for i, j in steps(offs):
-            a, z = first[i], first[j]
-            out[a:z] = _kind(prefix_sums(_LOWER[data[offs[i] : offs[j]]], BASE), lo[a:z] - offs[i], hi[a:z] - offs[i], k)
-        yield out
+def _parts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: the first one's number, their bytes, tokens' starts and ends, and each text's first token."""
+    for i, j in steps(offs):
+        d = data[offs[i] : offs[j]]
+        yield i, d, *letter_runs(d, offs[i : j + 1] - offs[i])
+
+
+def _held(data: np.ndarray, offs: np.ndarray, k: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a feature of kind k, one of the sorted keys if given, and a text that holds it; temporaries are of some texts only."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+    for i, d, lo, hi, first in _parts(data, offs):
+        h = _kind(prefix_sums(_LOWER[d], BASE), lo, hi, k)
+        t = np.repeat(np.arange(i, i + len(first) - 1, dtype=np.int32), np.diff(first))
+        ok = h != 0 if keys is None else keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+        h, t = h[ok], t[ok]
+        _, at = np.unique(mix(h) ^ mix(t.astype(np.uint64)), return_index=True)
+        found.append((h[at], t[at]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 class Model:
@@ -147,38 +157,28 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     texts, y = list(uniq), np.array(list(uniq.values()), np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return model
-    data, offs = flat(pa.array(texts, pa.string()))
-    lo, hi, first = letter_runs(data, offs)
-    text = np.repeat(np.arange(len(y)), np.diff(first))
-    features = lambda: sample_features(data, offs, lo, hi, first)
     n1 = int(y.sum())
-    # documents of each feature that toxic documents hold, by label
-    is_toxic = y[text] == 1
-    found_h, found_t, of = [], [], text[is_toxic]
-    for h in features():
-        h = h[is_toxic]
-        _, at = np.unique(mix(h) ^ mix(of.astype(np.uint64)), return_index=True)
-        at = at[h[at] != 0]
-        found_h.append(h[at])
-        found_t.append(of[at])
-    h1, t1 = np.concatenate(found_h), np.concatenate(found_t)
-    order = np.argsort(h1, kind="stable")
-    h1, t1 = h1[order], t1[order]
-    key, start, df1 = np.unique(h1, return_index=True, return_counts=True)
-    key, start, df1 = key[df1 >= 2], start[df1 >= 2], df1[df1 >= 2]
-    df0 = np.zeros(len(key), np.int64)
-    if len(key):
-        seen = []
-        for h in features():
-            h0, t0 = h[~is_toxic], text[~is_toxic]
-            k = np.minimum(np.searchsorted(key, h0), len(key) - 1)
-            ok = key[k] == h0
-            seen.append(np.unique(k[ok] * len(y) + t0[ok]))
-        df0 += np.bincount(np.concatenate(seen) // len(y), minlength=len(key))
+    # documents of each feature that toxic documents hold, one kind at a time, by label
+    toxic_rows = np.flatnonzero(y == 1)
+    of_label = [flat(pa.array([texts[i] for i in np.flatnonzero(y == k)], pa.string())) for k in (0, 1)]
     clean_each = max(1, int((y == 0).sum())) / n1
-    able = np.flatnonzero(df0 <= 0.02 * df1 * clean_each)
-    docs_of = {int(k): t1[start[k] : start[k] + df1[k]] for k in able}
-    cost = {int(k): 2.0 * df0[k] / clean_each for k in able}
+    able: list[tuple[int, int, float, np.ndarray]] = []  # key, documents, cost, toxic documents
+    for kind in PREFIXES:
+        h1, t1 = _held(*of_label[1], kind)
+        order = np.argsort(h1, kind="stable")
+        h1, t1 = h1[order], t1[order]
+        k1, start, df1 = np.unique(h1, return_index=True, return_counts=True)
+        k1, start, df1 = k1[df1 >= 2], start[df1 >= 2], df1[df1 >= 2]
+        if not len(k1):
+            continue
+        df0 = np.bincount(np.searchsorted(k1, _held(*of_label[0], kind, k1)[0]), minlength=len(k1))
+        for k in np.flatnonzero(df0 <= 0.02 * df1 * clean_each).tolist():
+            able.append((int(k1[k]), int(df1[k]), 2.0 * df0[k] / clean_each, toxic_rows[t1[start[k] : start[k] + df1[k]]]))
+    able.sort(key=lambda x: x[0])
+    key, df1 = np.array([x[0] for x in able], np.uint64), [x[1] for x in able]
+    cost = {k: x[2] for k, x in enumerate(able)}
+    docs_of = {k: x[3] for k, x in enumerate(able)}
+    del able, of_label
     chosen: list[int] = []
     cover = np.zeros(len(y), np.int64)
     for depth, least in ((1, 2.0), (2, max(3.0, 0.01 * n1))):
@@ -193,28 +193,40 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     model.keys = np.sort(key[chosen])
     model.sieve[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     model.weight = np.zeros(len(model.keys))
-    # token labels, and the windows to train on
-    picked = model.pick(features())
-    has = np.zeros(len(lo), bool)
+    # each text's first token, and of each kind the tokens that have a picked feature
+    data, offs = flat(pa.array(texts, pa.string()))
+    first, hits = np.zeros(len(y) + 1, np.int64), [[] for _ in PREFIXES]
+    for i, d, lo, hi, f in _parts(data, offs):
+        first[i + 1 : i + len(f)] = first[i] + f[1:]
+        for (at, k), out in zip(model.pick(token_features(d, lo, hi)), hits, strict=True):
+            out.append((at + first[i], k))
+    picked = [tuple(np.concatenate(x) for x in zip(*out, strict=True)) for out in hits]
+    del data
+    # token labels, and the windows to train on; windows don't cross texts
+    begin = np.concatenate([[0], np.cumsum(-(-np.diff(first) // WINDOW))])
+    with_some = np.zeros(begin[-1], bool)
     for at, _ in picked:
-        has[at] = True
-    labels = has & (y[text] == 1)
-    place = np.arange(len(lo)) - first[text]
-    window = np.cumsum((place % WINDOW == 0).astype(np.int64)) - 1  # windows don't cross texts
-    with_some = np.zeros(window[-1] + 1 if len(window) else 0, bool)
-    with_some[window[has]] = True
+        t = np.searchsorted(first, at, side="right") - 1
+        with_some[begin[t] + (at - first[t]) // WINDOW] = True
     rng = np.random.default_rng(7)
     use = np.zeros(len(with_some), bool)
     for kind, most in ((with_some, WINDOWS_WITH), (~with_some, WINDOWS_WITHOUT)):
         use[rng.permutation(np.flatnonzero(kind))[:most]] = True
-    keep = np.flatnonzero(use[window])
+    use = np.flatnonzero(use)
+    t = np.searchsorted(begin, use, side="right") - 1
+    lo = first[t] + (use - begin[t]) * WINDOW
+    size = np.minimum(WINDOW, first[t + 1] - lo)
+    text = np.repeat(t, size)
+    keep = np.arange(len(text)) + np.repeat(lo - np.cumsum(size) + size, size)
     # a sequence ends where a gap or a text ends
-    cut = np.flatnonzero((np.diff(keep) != 1) | (np.diff(text[keep]) != 0)) + 1
+    cut = np.flatnonzero((np.diff(keep) != 1) | (np.diff(text) != 0)) + 1
     seq = np.concatenate([[0], cut, [len(keep)]])
-    renumber = np.full(len(lo), -1)
-    renumber[keep] = np.arange(len(keep))
-    sub = [(renumber[at][renumber[at] >= 0], k[renumber[at] >= 0]) for at, k in picked]
-    z = labels[keep].astype(float)
+    sub, z = [], np.zeros(len(keep))
+    for at, k in picked:
+        to = np.searchsorted(keep, at)
+        ok = keep[np.minimum(to, len(keep) - 1)] == at if len(keep) else np.zeros(0, bool)
+        sub.append((to[ok], k[ok]))
+        z[to[ok][y[text[to[ok]]] == 1]] = 1.0
     begins = np.zeros(len(keep), bool)
     begins[seq[:-1]] = True
     inner = np.flatnonzero(~begins)
@@ -234,11 +246,15 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             moment[name] = m, v
             setattr(model, name, getattr(model, name) + 0.4 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-6))
-    u, near = model.design(len(lo), first, picked)
-    p = chain_marginals(u + model.bias + model.near * near, first, model.trans)
+    evidence = []
+    for i, j in steps(offs):
+        part = [(at[slice(*(r := np.searchsorted(at, [first[i], first[j]])))] - first[i], k[slice(*r)]) for at, k in picked]
+        f = first[i : j + 1] - first[i]
+        u, near = model.design(f[-1], f, part)
+        evidence.append(model.evidence(f, chain_marginals(u + model.bias + model.near * near, f, model.trans)))
     share = n1 / len(y)
     prior = share if prior is None else min(max(prior, 1e-4), 1 - 1e-4)
-    model.curve = logistic(model.evidence(first, p), y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
+    model.curve = logistic(np.concatenate(evidence), y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
     return model
 
 
@@ -258,9 +274,12 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
         t = [b for b in batches]
         if t:
             t = pa.Table.from_batches(t).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            m = fit(t.column("text").to_pylist(), t.column("toxic").to_pylist(), prior)
+            texts, toxic = t.column("text").to_pylist(), t.column("toxic").to_pylist()
             del t
             tidy()
+            m = fit(texts, toxic, prior)
+            del texts
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m.__dict__)], pa.binary())], names=["model"])
 
     # one task fits on the bounded sample, in an executor's memory
