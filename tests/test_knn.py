@@ -216,6 +216,20 @@ def test_points_beyond_the_broadcast_bound(spark, monkeypatch):
             assert not any(x in got._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
 
 
+def test_nested_loop_is_bounded(spark, monkeypatch):
+    """Points beyond the loop's bound meet no query one by one, and the rows are the same."""
+    rng = np.random.default_rng(41)
+    p, q = rng.random((120, 3)), rng.random((9, 3))
+    p[40:60] = p[0]
+    a, b = frames(spark, p, q)
+    cols = ["c0", "c1", "c2"]
+    for most, loops in ((120, True), (119, False)):
+        monkeypatch.setattr(strategies, "LOOP_POINTS", most, raising=False)
+        got = KnnEngine(PointSet(a, "id", cols), "sql").query_nearest_k(b, 7, "qid", cols, squared=True)
+        assert ("BroadcastNestedLoopJoin" in got._jdf.queryExecution().toString()) == loops
+        assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got.collect()) == brute(p, q, 7)
+
+
 def test_npy_files_and_description(spark, tmp_path):
     p = np.random.default_rng(6).random((70, 2)).astype(np.float32)
     np.save(tmp_path / "p.npy", p)
