@@ -230,6 +230,58 @@ def test_nested_loop_is_bounded(spark, monkeypatch):
         assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got.collect()) == brute(p, q, 7)
 
 
+def most_rows(df):
+    """The rows of a query, and the most that a step of its plan gave."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
+@pytest.mark.parametrize("dim", [2])
+def test_grid_makes_no_row_a_pair(spark, dim):
+    """Dense points in a wide box: candidates are ranked where they are, a tile passes on k a query."""
+    rng = np.random.default_rng(43)
+    p = np.concatenate([rng.normal(0.5, 0.01, (3000, dim)), np.zeros((1, dim)), np.ones((1, dim))])
+    p[100:200] = p[0]  # ties
+    q = np.concatenate([p[:1], rng.normal(0.5, 0.01, (198, dim)), np.full((1, dim), 0.9)])
+    a, b = frames(spark, p, q)
+    cols = [f"c{i}" for i in range(dim)]
+    got, most = most_rows(KnnEngine(PointSet(a, "id", cols), "grid").query_nearest_k(b, 5, "qid", cols, squared=True))
+    d2 = sum((q[:, None, i] - p[None, :, i]) ** 2 for i in range(dim))
+    near = np.argsort(d2, axis=1, kind="stable")[:, :5]
+    assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got) == [(i, j + 1, n, d2[i, n]) for i, x in enumerate(near.tolist()) for j, n in enumerate(x)]
+    assert most <= len(p) + 2**dim * 5 * len(q)
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_grid_of_tiles(spark, monkeypatch, periodic):
+    """Many tiles, none too full: queries at their borders, beyond the data and in empty places find what brute force finds."""
+    monkeypatch.setattr(strategies, "CELL_POINTS", 16)
+    monkeypatch.setattr(strategies, "BLOCK_POINTS", 100)
+    rng = np.random.default_rng(44)
+    p, q = rng.random((400, 2)), rng.random((40, 2))
+    p[:, 0] = np.where((p[:, 0] > 0.4) & (p[:, 0] < 0.6), p[:, 0] + 0.3, p[:, 0])
+    q[:3] = p[:3]
+    q = q if periodic else np.concatenate([q, [[-3.0, 0.5], [0.5, 1e300], [1.0, 1.0], [0.0, 0.0]]])
+    a, b = frames(spark, p, q)
+    engine = KnnEngine(PointSet(a, "id", ["c0", "c1"]), "grid")
+    box = [1.0, 1.0] if periodic else None
+    got = (engine.with_boxsize(box) if box else engine).query_nearest_k(b, 6, "qid", ["c0", "c1"], squared=True)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    assert sorted((r["qid"], r["rank"], r["neighbor_id"], r["distance"]) for r in got.collect()) == brute(p, q, 6, box)
+
+
 def test_npy_files_and_description(spark, tmp_path):
     p = np.random.default_rng(6).random((70, 2)).astype(np.float32)
     np.save(tmp_path / "p.npy", p)
